@@ -56,12 +56,12 @@ def running_sums(
 
     `table` holds one row per (`by`, `order`) value, that is, it is pre-aggregated: a value that a
     third of all input rows share is still one row here. `bound_by` names the part of `by` that has
-    few values and its own value scale.
+    few values and its own value scale. `ranges=1` is for tables whose size per `by` has a known bound.
     """
     by = list(by)
     ranges = default_ranges(table) if ranges is None else ranges
     cut = _range_column(table, order, sums[0], list(bound_by), ranges)
-    if ranges <= 1 and by:
+    if ranges <= 1:
         inside = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy(*by)
         return cut.select(
