@@ -14,28 +14,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.functions.exprs import join_groups
+from veil.functions.lineage import materialize
 
 MAX_RANGES = 2000
+ROWS_PER_RANGE = 1_000_000
 
 
 def default_ranges(df: DataFrame) -> int:
     return max(1, min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def _range_column(table: DataFrame, order: str, weight: str, bound_by: Sequence[str], ranges: int) -> DataFrame:
+def ranges_for(n_rows: int) -> int:
+    """Value ranges for a table of a known size; one range only when a task can surely sort it all."""
+    return max(1, min(MAX_RANGES, -(-n_rows // ROWS_PER_RANGE)))
+
+
+def _range_column(table: DataFrame, order: str, bound_by: Sequence[str], ranges: int) -> DataFrame:
     """Adds `__range`: the number of bounds that are <= the order value."""
     if ranges <= 1:
         return table.withColumn("__range", F.lit(0))
-    # the filter keeps the weight in the plan, so both branches share one exchange
-    counted = table.where(F.col(weight).isNotNull() & (F.col(weight) >= 0))
     if dict(table.dtypes)[order] == "string":
-        sample = counted.select(order).orderBy(F.xxhash64(order), order).limit(ranges - 1)
+        sample = table.select(order).orderBy(F.xxhash64(order), order).limit(ranges - 1)
         bounds = sample.agg(F.array_sort(F.collect_set(order)).alias("__bounds"))
         bound_by = []
     else:
         cuts = [i / ranges for i in range(1, ranges)]
         sketch = F.percentile_approx(order, cuts, 10000).alias("__bounds")
-        bounds = counted.groupBy(*bound_by).agg(sketch) if bound_by else counted.agg(sketch)
+        bounds = table.groupBy(*bound_by).agg(sketch) if bound_by else table.agg(sketch)
     if bound_by:
         table = join_groups(table, bounds, bound_by, "left")
     else:
@@ -56,11 +61,17 @@ def running_sums(
 
     `table` holds one row per (`by`, `order`) value, that is, it is pre-aggregated: a value that a
     third of all input rows share is still one row here. `bound_by` names the part of `by` that has
-    few values and its own value scale. `ranges=1` is for tables whose size per `by` has a known bound.
+    few values and its own value scale.
+
+    Without `ranges` the table is written to the shared folder first. That keeps its several uses
+    from scanning the source again, and its exact size decides how many ranges are needed. `ranges=1`
+    is for tables whose size per `by` has a known bound.
     """
     by = list(by)
-    ranges = default_ranges(table) if ranges is None else ranges
-    cut = _range_column(table, order, sums[0], list(bound_by), ranges)
+    if ranges is None:
+        table = materialize(table, "ordered")
+        ranges = ranges_for(table.count())
+    cut = _range_column(table, order, list(bound_by), ranges)
     if ranges <= 1:
         inside = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy(*by)
@@ -92,13 +103,15 @@ def running_sums(
 
 
 def quantiles_from_counts(
-    counts: DataFrame, value: str, n: str, qs: dict[str, float], by: Sequence[str] = (), ranges: int | None = None
+    counts: DataFrame, value: str, n: str, qs: dict[str, float], by: Sequence[str] = (), ranges: int | None = None,
+    sums: Sequence[str] = (), extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Exact quantiles with linear interpolation from a (by, value, count) table.
 
-    `qs` maps output names to probabilities.
+    `qs` maps output names to probabilities. `extra` are further aggregates over the same rows; they
+    may use the totals of the columns in `sums`.
     """
-    ranked = running_sums(counts, value, [n], by, by, ranges)
+    ranked = running_sums(counts, value, [n, *sums], by, by, ranges)
     first, last = F.col(f"cum_{n}") - F.col(n), F.col(f"cum_{n}") - 1
     total = F.col(f"total_{n}")
 
@@ -115,8 +128,9 @@ def quantiles_from_counts(
         ]
         low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
         outputs.append((low + (high - low) * F.col(f"__f_{name}")).alias(name))
-    grouped = ranked.groupBy(*by) if by else ranked.groupBy()
-    return grouped.agg(*aggregates).select(*by, *outputs)
+    kept = ranked.groupBy(*by).agg(*aggregates, *extra)
+    dropped = [c for c in kept.columns if c.startswith(("__lo_", "__hi_", "__f_"))]
+    return kept.select("*", *outputs).drop(*dropped)
 
 
 def value_counts_long(df: DataFrame, columns: Sequence[str], cast: str = "double") -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.functions.exprs import ratio
+from veil.functions.lineage import materialize
 from veil.functions.ordered import quantiles_from_counts
-from veil.operators.profile import top_k
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], triangle: bool = False) -> DataFrame:
@@ -81,10 +81,15 @@ def rate_by(df: DataFrame, group: Column | str, target: str, name: str | None =
 
 def rate_in_top(df: DataFrame, column: str, target: str, k: int = 10) -> DataFrame:
     """Rates of the k most frequent values next to the overall rate."""
-    top = top_k(df, column, k).select(F.col(column).alias("__top"))
-    overall = df.agg(F.round(100 * F.avg(target), 6).alias("r"))
-    inside = df.join(top, F.col(column) == F.col("__top"), "left_semi")
-    return rate_by(inside, column, target).withColumn("overall_rate_pct", overall.scalar())
+    groups = (
+        df.where(F.col(column).isNotNull()).groupBy(column)
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("__hits"))
+    )
+    rate = F.round(100 * ratio(F.sum("__hits"), F.sum("n")), 6)
+    return groups.orderBy(F.desc("n"), column).limit(k).select(
+        column, F.round(100 * ratio(F.col("__hits"), F.col("n")), 6).alias("rate_pct"), "n",
+        groups.agg(rate.alias("r")).scalar().alias("overall_rate_pct"),
+    )
 
 
 def group_profile(df: DataFrame, group: str, target: str, age: str, conditions: Sequence[str]) -> DataFrame:
@@ -123,6 +128,7 @@ def group_correlation(profile: DataFrame, a: str, b: str) -> DataFrame:
 
 def median_halves(df: DataFrame, profile: DataFrame, group: str, measure: str, bin_col: str) -> DataFrame:
     """Share of every bin inside the groups at or above and below the median of a group measure."""
+    profile = materialize(profile, "profile")
     counts = profile.groupBy(measure).agg(F.count(F.lit(1)).alias("n"))
     median = quantiles_from_counts(counts, measure, "n", {"m": 0.5})
     halves = profile.withColumn("__m", median.scalar()).select(
@@ -140,8 +146,6 @@ def children_of(df: DataFrame, parent: str, child: str, target: str, k: int = 5)
     Rows are first counted per (parent, child), so a parent that holds a third of all rows is a few
     rows when its children are ranked; only the k best survive the ranking.
     """
-    from pyspark.sql import Window
-
     pairs = df.groupBy(parent, child).agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("hits"))
     rank = F.row_number().over(Window.partitionBy(parent).orderBy(F.desc("n"), child))
     top = (
@@ -158,6 +162,7 @@ def children_of(df: DataFrame, parent: str, child: str, target: str, k: int = 5)
 
 def largest_groups(profile: DataFrame, group: str, measure: str, size: str, colour: str, k: int) -> DataFrame:
     """The k groups with the largest measure, a size scaled to the largest group and a min-max colour."""
+    profile = materialize(profile, "profile")
     ends = profile.agg(F.struct(F.max(size).alias("size")).alias("s"))
     top = profile.orderBy(F.desc(measure), group).limit(k)
     span = top.agg(F.struct(F.min(colour).alias("lo"), F.max(colour).alias("hi")).alias("c"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions.exprs import join_groups, ratio
-from veil.functions.ordered import running_sums
+from veil.functions.lineage import materialize
+from veil.functions.ordered import ranges_for, running_sums
 
 
 def _distinct_per_class(df: DataFrame, quasi: Sequence[str], attr: str) -> DataFrame:
@@ -85,6 +86,7 @@ def diversity_levels(classes: DataFrame) -> DataFrame:
 
 def rate_distance(classes: DataFrame, t: float = 0.2) -> DataFrame:
     """Distance of the class target rate from the global rate, and whether it is within t."""
+    classes = materialize(classes, "classes")
     overall = classes.agg(ratio(F.sum(F.col("target_rate") * F.col("k")), F.sum("k")).alias("g"))
     distance = F.round(F.abs(F.col("target_rate") - F.col("__g")), 9)
     return classes.withColumn("__g", overall.scalar()).withColumn("distance", distance).withColumn(
@@ -97,8 +99,11 @@ def frequency_distance(df: DataFrame, quasi: Sequence[str], attr: str, ranges: i
 
     A level that a class lacks counts with frequency 0; rows without a value count in the totals.
     """
-    cells = df.groupBy(*quasi, attr).agg(F.count(F.lit(1)).alias("n"))
-    return frequency_distance_from_counts(cells, rank_levels(cells, attr, "n", ranges), quasi, attr, "n", ranges)
+    cells = materialize(df.groupBy(*quasi, attr).agg(F.count(F.lit(1)).alias("n")), "cells")
+    levels = materialize(rank_levels(cells, attr, "n", ranges), "levels")
+    # a class has at most one cell per level
+    ranges = ranges or (1 if ranges_for(levels.count()) == 1 else None)
+    return frequency_distance_from_counts(cells, levels, quasi, attr, "n", ranges)
 
 
 def rank_levels(cells: DataFrame, attr: str, n: str, ranges: int | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veil.functions.exprs import join_groups, ratio
-from veil.functions.ordered import quantiles_from_counts, running_sums, value_counts_long
+from veil.functions.lineage import materialize
+from veil.functions.ordered import quantiles_from_counts, ranges_for, running_sums, value_counts_long
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
@@ -40,18 +41,15 @@ def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 def numeric_summary(df: DataFrame, columns: Sequence[str], ranges: int | None = None) -> DataFrame:
     """count, mean, std (n-1), min, quartiles (linear interpolation) and max per column."""
-    counts = value_counts_long(df, columns)
-    x = F.col("value")
-    moments = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-        .unpivot([], list(columns), "column_name", "value")
-        .groupBy("column_name")
-        .agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-             F.min(x).alias("min"), F.max(x).alias("max"))
-    )
-    quartiles = quantiles_from_counts(counts, "value", "n", QUARTILES, ["column_name"], ranges)
-    joined = moments.join(quartiles, "column_name", "left")
-    return joined.select(
+    counts = value_counts_long(df, columns).withColumn("s", F.col("value") * F.col("n"))
+    mean = F.col("total_s") / F.col("total_n")
+    squares = F.sum(F.col("n") * F.pow(F.col("value") - mean, F.lit(2.0)))
+    moments = [
+        F.sum("n").alias("count"), F.max(mean).alias("mean"),
+        F.sqrt(ratio(squares, F.sum("n") - 1)).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
+    ]
+    out = quantiles_from_counts(counts, "value", "n", QUARTILES, ["column_name"], ranges, ["s"], moments)
+    return out.select(
         "column_name", "count",
         *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "q25", "median", "q75", "max")],
     )
@@ -62,7 +60,7 @@ def value_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Nulls are not counted, as in a value count.
     """
-    counts = value_counts_long(df, columns, "string")
+    counts = materialize(value_counts_long(df, columns, "string"), "frequencies")
     totals = counts.groupBy("column_name").agg(F.sum("n").alias("__t"), F.count(F.lit(1)).alias("n_distinct"))
     return counts.join(totals, "column_name").select(
         "column_name", "value", "n", F.round(ratio(F.col("n"), F.col("__t")), 6).alias("share"), "n_distinct"
@@ -172,6 +170,8 @@ def box_stats(df: DataFrame, column: str, by: Sequence[str] = (), ranges: int |
         .groupBy(*by, F.col(column).cast("double").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    counts = materialize(counts, "box")
+    ranges = ranges_for(counts.count()) if ranges is None else ranges
     quantiles = quantiles_from_counts(counts, "value", "n", {**QUARTILES, "q99": 0.99}, by, ranges)
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     fences = quantiles.withColumn("__lo", F.col("q25") - reach).withColumn("__hi", F.col("q75") + reach)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,22 +33,34 @@ def riskiest(classes: DataFrame, quasi: Sequence[str], n: int = 10) -> DataFrame
     return classes.orderBy("k", *quasi).limit(n)
 
 
-def size_distribution(classes: DataFrame) -> DataFrame:
-    """Summary of class sizes.
+def _size_summary(classes: DataFrame, k: int) -> DataFrame:
+    """All size measures from one aggregate over (size, number of classes of that size).
 
-    Sizes are counted first. Distinct sizes of n rows add up to at most n, so there are fewer than
-    sqrt(2n) of them (under a million for 10^11 rows) and one window can rank them.
+    Distinct sizes of n rows add up to at most n, so there are fewer than sqrt(2n) of them (under a
+    million for 10^11 rows) and one window can rank them.
     """
     counts = classes.groupBy(F.col("k").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    qs = quantiles_from_counts(counts, "value", "n", {"q25": 0.25, "median": 0.5, "q75": 0.75}, ranges=1)
-    packed = qs.select(F.struct("*").alias("q"))
-    moments = classes.agg(
-        F.count(F.lit(1)).alias("n_classes"), F.round(F.avg("k"), 6).alias("mean"),
-        F.round(F.stddev_samp("k"), 6).alias("std"), F.min("k").alias("min_k"), F.max("k").alias("max_k"),
-    )
-    return moments.withColumn("q", packed.scalar()).select(
-        "n_classes", "mean", "std", "min_k", *[F.round(f"q.{c}", 6).alias(c) for c in ("q25", "median", "q75")], "max_k"
-    )
+    counts = counts.withColumn("records", F.col("value") * F.col("n"))
+    size, n = F.col("value"), F.col("n")
+    mean = F.col("total_records") / F.col("total_n")
+    squares = F.sum(n * F.pow(size - mean, F.lit(2.0)))
+    small = F.sum(F.when(size < k, F.col("records")).otherwise(0.0))
+    extra = [
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_classes"), F.round(F.max(mean), 6).alias("mean"),
+        F.round(F.sqrt(ratio(squares, F.sum(n) - 1)), 6).alias("std"),
+        F.min("value").cast("bigint").alias("min_k"), F.max("value").cast("bigint").alias("max_k"),
+        F.coalesce(F.sum(F.when(size == 1, n).otherwise(0)), F.lit(0)).alias("n_singletons"),
+        F.coalesce(F.sum(F.when(size < k, n).otherwise(0)), F.lit(0)).alias("n_below_k"),
+        F.round(100 * ratio(small, F.sum("records")), 6).alias("pct_records_at_risk"),
+    ]
+    quartiles = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    out = quantiles_from_counts(counts, "value", "n", quartiles, ranges=1, sums=["records"], extra=extra)
+    return out.withColumns({q: F.round(q, 6) for q in quartiles})
+
+
+def size_distribution(classes: DataFrame) -> DataFrame:
+    """Summary of class sizes."""
+    return _size_summary(classes, 5).select("n_classes", "mean", "std", "min_k", "q25", "median", "q75", "max_k")
 
 
 def size_histogram(classes: DataFrame, bins: int = 20) -> DataFrame:
@@ -56,15 +69,9 @@ def size_histogram(classes: DataFrame, bins: int = 20) -> DataFrame:
 
 def compare_stages(stages: dict[str, DataFrame], k: int = 5) -> DataFrame:
     """Risk profile and size distribution per stage, e.g. before and after generalization."""
-    out = None
-    for name, classes in stages.items():
-        profile = risk_profile(classes, k).select(F.struct("*").alias("p"))
-        row = size_distribution(classes).withColumn("p", profile.scalar()).select(
-            F.lit(name).alias("stage"), "n_classes", "min_k", "median", "max_k",
-            "p.n_singletons", "p.n_below_k", "p.pct_records_at_risk",
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    measures = ["n_classes", "min_k", "median", "max_k", "n_singletons", "n_below_k", "pct_records_at_risk"]
+    rows = [_size_summary(classes, k).select(F.lit(name).alias("stage"), *measures) for name, classes in stages.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def record_risk(df: DataFrame, quasi: Sequence[str], k: int = 5) -> DataFrame:
