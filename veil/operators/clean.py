@@ -165,9 +165,13 @@ def one_hot(
     return df.select(*[c for c in df.columns if c != column], *flags)
 
 
-def scale_uncentred(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns divided by their population standard deviation, not centred; constants stay as they are."""
-    spread = df.agg(F.struct(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in columns]).alias("s"))
+def scale_uncentred(df: DataFrame, columns: Sequence[str], fit_on: Column | None = None) -> DataFrame:
+    """Columns divided by their population standard deviation, not centred; constants stay as they are.
+
+    `fit_on` names the rows that the deviation is taken from, e.g. the training side.
+    """
+    rows = df if fit_on is None else df.where(fit_on)
+    spread = rows.agg(F.struct(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in columns]).alias("s"))
     scale = {c: F.when(F.col(f"__s.{c}") == 0, F.lit(1.0)).otherwise(F.col(f"__s.{c}")) for c in columns}
     return df.withColumn("__s", spread.scalar()).select(
         *[(F.col(c) / scale[c]).alias(c) if c in columns else F.col(c) for c in df.columns]

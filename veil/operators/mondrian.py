@@ -99,10 +99,13 @@ def measure_splits(cells: DataFrame, n_features: int, is_cat: Column, ranges: in
     neither in the span nor in the median. Left sides are prefixes of the sorted values, so running
     sums give all counts in one pass.
     """
+    x = F.col("x")
     values = _long(cells, n_features, ["part_id"]).groupBy("part_id", "j", "x").agg(F.sum("n").alias("n"))
-    missing = F.sum(F.when(F.col("x").isNull(), F.col("n")).otherwise(0))
-    present = values.where(F.col("x").isNotNull()).withColumn("one", F.lit(1))
-    ranked = running_sums(present, "x", ["n", "one"], ["part_id", "j"], ["j"], ranges)
+    weighed = values.select(
+        "part_id", "j", "x", F.when(x.isNull(), 0).otherwise(F.col("n")).alias("n"),
+        F.when(x.isNull(), 0).otherwise(1).alias("one"), F.when(x.isNull(), F.col("n")).otherwise(0).alias("missing"),
+    )
+    ranked = running_sums(weighed, "x", ["n", "one", "missing"], ["part_id", "j"], ["j"], ranges)
     total, cum, n = F.col("total_n"), F.col("cum_n"), F.col("n")
     lo_rank, hi_rank = F.floor((total - 1) / 2), F.ceil((total - 1) / 2)
 
@@ -111,18 +114,17 @@ def measure_splits(cells: DataFrame, n_features: int, is_cat: Column, ranges: in
 
     half = F.col("cum_one") == F.floor(F.col("total_one") / 2)
     stats = ranked.groupBy("part_id", "j").agg(
-        F.max("total_n").alias("n_present"), F.max("total_one").alias("n_levels"),
+        F.max("total_n").alias("n_present"), F.max("total_one").alias("n_levels"), F.max("total_missing").alias("n_missing"),
         F.min("x").alias("lo"), F.max("x").alias("hi"),
         F.max(F.when(covers(lo_rank), F.col("x"))).alias("m_lo"), F.max(F.when(covers(hi_rank), F.col("x"))).alias("m_hi"),
         F.max(F.when(covers(lo_rank), cum - n)).alias("before_lo"), F.max(F.when(covers(lo_rank), cum)).alias("upto_lo"),
         F.max(F.when(F.col("cum_one") == 1, n)).alias("n_first"),
         F.max(F.when(half, F.col("x"))).alias("half_x"), F.max(F.when(half, cum)).alias("half_n"),
     )
-    gaps = values.groupBy("part_id", "j").agg(missing.alias("n_missing"))
     median = (F.col("m_lo") + F.col("m_hi")) / 2
     at_min = median == F.col("lo")
     below = F.when(at_min, F.col("n_first")).when(F.col("m_lo") == F.col("m_hi"), F.col("before_lo")).otherwise(F.col("upto_lo"))
-    return stats.join(gaps, ["part_id", "j"]).select(
+    return stats.select(
         "part_id", "j",
         F.when(is_cat, F.col("n_levels").cast("double")).otherwise(F.col("hi") - F.col("lo")).alias("span"),
         F.when(is_cat, F.col("half_x")).otherwise(median).alias("cut"),
