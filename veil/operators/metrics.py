@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.functions.exprs import ratio
+from veil.functions.lineage import materialize
 from veil.functions.ordered import running_sums
 
 
@@ -204,7 +205,11 @@ def workload(scored: DataFrame, threshold: float, **cols) -> DataFrame:
 
 
 def evaluate(scored: DataFrame, threshold: float, **cols) -> DataFrame:
-    """All measures of a scored table in long form (metric, value)."""
+    """All measures of a scored table in long form (metric, value).
+
+    Scores come out of model transforms, so they are written once before the several aggregates.
+    """
+    scored = materialize(scored, "scores")
     one_row = classification_metrics(scored, threshold, **cols).select(F.struct("*").alias("c"))
     ranks = ranking_metrics(scored, **cols).select(F.struct("*").alias("r"))
     flagged = workload(scored, threshold, **cols).select(F.struct("*").alias("w"))
