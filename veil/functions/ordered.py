@@ -31,8 +31,6 @@ def ranges_for(n_rows: int) -> int:
 
 def _range_column(table: DataFrame, order: str, bound_by: Sequence[str], ranges: int) -> DataFrame:
     """Adds `__range`: the number of bounds that are <= the order value."""
-    if ranges <= 1:
-        return table.withColumn("__range", F.lit(0))
     if dict(table.dtypes)[order] == "string":
         sample = table.select(order).orderBy(F.xxhash64(order), order).limit(ranges - 1)
         bounds = sample.agg(F.array_sort(F.collect_set(order)).alias("__bounds"))
@@ -71,15 +69,13 @@ def running_sums(
     if ranges is None:
         table = materialize(table, "ordered")
         ranges = ranges_for(table.count())
-    cut = _range_column(table, order, list(bound_by), ranges)
     if ranges <= 1:
-        inside = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*by)
-        return cut.select(
-            *table.columns,
-            *[F.sum(c).over(inside).alias(f"cum_{c}") for c in sums],
-            *[F.sum(c).over(whole).alias(f"total_{c}") for c in sums],
+        group = f"PARTITION BY {', '.join(f'`{c}`' for c in by)}" if by else ""
+        inside = f"OVER ({group} ORDER BY `{order}` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        return table.selectExpr(
+            "*", *[f"sum(`{c}`) {inside} AS `cum_{c}`" for c in sums], *[f"sum(`{c}`) OVER ({group}) AS `total_{c}`" for c in sums]
         )
+    cut = _range_column(table, order, list(bound_by), ranges)
     keys = [*by, "__range"]
     # one row per range: at most MAX_RANGES rows share a window here
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

@@ -96,6 +96,18 @@ def confusion(scored: DataFrame, threshold: float, label: str = "label", score:
     )
 
 
+def confusion_by_score(scored: DataFrame, scores: dict[str, Column], threshold: float, label: str = "label") -> DataFrame:
+    """(variant, tp, fp, tn, fn) of several scores of the same rows, from one pass over them."""
+    y, cells = F.col(label) == 1, []
+    for name, value in scores.items():
+        hit = value >= F.lit(float(threshold))
+        cells.append(
+            F.struct(F.lit(name).alias("variant"), F.count_if(y & hit).alias("tp"), F.count_if(~y & hit).alias("fp"),
+                     F.count_if(~y & ~hit).alias("tn"), F.count_if(y & ~hit).alias("fn")).alias(name)
+        )
+    return scored.agg(*cells).select(F.inline(F.array(*[F.col(f"`{name}`") for name in scores])))
+
+
 def confusion_cells(scored: DataFrame, threshold: float, label: str = "label", score: str = "score") -> DataFrame:
     """The same as cells (label, predicted, n), empty cells included."""
     wide = confusion(scored, threshold, label, score)

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from veil.functions.exprs import join_groups, ratio
 from veil.functions.lineage import materialize
-from veil.functions.ordered import ranges_for, running_sums
+from veil.functions.ordered import ROWS_PER_RANGE, ranges_for, running_sums
 from veil.operators.diversity import frequency_distance_from_counts, rank_levels
 
 ROOT = "1"
@@ -87,11 +87,11 @@ def encode_cells(df: DataFrame, features: Sequence[str], categorical: Sequence[s
 
 def _long(cells: DataFrame, n_features: int, keep: Sequence[str]) -> DataFrame:
     """Cells once per feature: (keep..., n, j, x)."""
-    parts = [F.struct(F.lit(j).alias("j"), F.col(f"__x{j}").alias("x")) for j in range(n_features)]
-    return cells.select(*keep, "n", F.inline(F.array(*parts)))
+    parts = ", ".join(f"named_struct('j', {j}, 'x', `__x{j}`)" for j in range(n_features))
+    return cells.selectExpr(*[f"`{c}`" for c in keep], "n", f"inline(array({parts}))")
 
 
-def measure_splits(cells: DataFrame, n_features: int, is_cat: Column, ranges: int) -> DataFrame:
+def measure_splits(cells: DataFrame, n_features: int, is_cat: str, ranges: int) -> DataFrame:
     """Span, cut and side counts of every (part_id, feature).
 
     Numeric: the cut is the median; `<` goes left, or `<=` when the median is the minimum.
@@ -99,45 +99,37 @@ def measure_splits(cells: DataFrame, n_features: int, is_cat: Column, ranges: in
     neither in the span nor in the median. Left sides are prefixes of the sorted values, so running
     sums give all counts in one pass.
     """
-    x = F.col("x")
     values = _long(cells, n_features, ["part_id"]).groupBy("part_id", "j", "x").agg(F.sum("n").alias("n"))
-    weighed = values.select(
-        "part_id", "j", "x", F.when(x.isNull(), 0).otherwise(F.col("n")).alias("n"),
-        F.when(x.isNull(), 0).otherwise(1).alias("one"), F.when(x.isNull(), F.col("n")).otherwise(0).alias("missing"),
+    weighed = values.selectExpr(
+        "part_id", "j", "x", "if(x IS NULL, 0L, n) AS n", "if(x IS NULL, 0, 1) AS one", "if(x IS NULL, n, 0L) AS missing"
     )
     ranked = running_sums(weighed, "x", ["n", "one", "missing"], ["part_id", "j"], ["j"], ranges)
-    total, cum, n = F.col("total_n"), F.col("cum_n"), F.col("n")
-    lo_rank, hi_rank = F.floor((total - 1) / 2), F.ceil((total - 1) / 2)
-
-    def covers(rank: Column) -> Column:
-        return (rank >= cum - n) & (rank <= cum - 1)
-
-    half = F.col("cum_one") == F.floor(F.col("total_one") / 2)
-    stats = ranked.groupBy("part_id", "j").agg(
-        F.max("total_n").alias("n_present"), F.max("total_one").alias("n_levels"), F.max("total_missing").alias("n_missing"),
-        F.min("x").alias("lo"), F.max("x").alias("hi"),
-        F.max(F.when(covers(lo_rank), F.col("x"))).alias("m_lo"), F.max(F.when(covers(hi_rank), F.col("x"))).alias("m_hi"),
-        F.max(F.when(covers(lo_rank), cum - n)).alias("before_lo"), F.max(F.when(covers(lo_rank), cum)).alias("upto_lo"),
-        F.max(F.when(F.col("cum_one") == 1, n)).alias("n_first"),
-        F.max(F.when(half, F.col("x"))).alias("half_x"), F.max(F.when(half, cum)).alias("half_n"),
+    # value rows cover the ranks from cum_n - n to cum_n - 1; the median lies between two ranks
+    low, high = ("{0}((total_n - 1) / 2) BETWEEN cum_n - n AND cum_n - 1".format(f) for f in ("floor", "ceil"))
+    half = "cum_one = floor(total_one / 2)"
+    aggregates = {
+        "n_present": "max(total_n)", "n_levels": "max(total_one)", "n_missing": "max(total_missing)", "lo": "min(x)", "hi": "max(x)",
+        "m_lo": f"max(if({low}, x, NULL))", "m_hi": f"max(if({high}, x, NULL))",
+        "before_lo": f"max(if({low}, cum_n - n, NULL))", "upto_lo": f"max(if({low}, cum_n, NULL))",
+        "n_first": "max(if(cum_one = 1, n, NULL))", "half_x": f"max(if({half}, x, NULL))", "half_n": f"max(if({half}, cum_n, NULL))",
+    }
+    stats = ranked.groupBy("part_id", "j").agg(*[F.expr(e).alias(c) for c, e in aggregates.items()])
+    cuts = stats.selectExpr(
+        "part_id", "j", "n_present", "n_missing",
+        f"if({is_cat}, CAST(n_levels AS double), hi - lo) AS span",
+        f"if({is_cat}, half_x, (m_lo + m_hi) / 2) AS cut",
+        f"{is_cat} OR (m_lo + m_hi) / 2 = lo AS inclusive",
+        f"coalesce(CASE WHEN {is_cat} THEN half_n WHEN (m_lo + m_hi) / 2 = lo THEN n_first WHEN m_lo = m_hi THEN before_lo ELSE upto_lo END, 0L) AS n_below",
     )
-    median = (F.col("m_lo") + F.col("m_hi")) / 2
-    at_min = median == F.col("lo")
-    below = F.when(at_min, F.col("n_first")).when(F.col("m_lo") == F.col("m_hi"), F.col("before_lo")).otherwise(F.col("upto_lo"))
-    return stats.select(
-        "part_id", "j",
-        F.when(is_cat, F.col("n_levels").cast("double")).otherwise(F.col("hi") - F.col("lo")).alias("span"),
-        F.when(is_cat, F.col("half_x")).otherwise(median).alias("cut"),
-        F.when(is_cat, F.lit(True)).otherwise(at_min).alias("inclusive"),
-        (F.coalesce(F.when(is_cat, F.col("half_n")).otherwise(below), F.lit(0)) + F.col("n_missing")).alias("n_left"),
-        (F.col("n_present") - F.coalesce(F.when(is_cat, F.col("half_n")).otherwise(below), F.lit(0))).alias("n_right"),
-        (F.col("n_present") + F.col("n_missing")).alias("n_part"),
+    return cuts.selectExpr(
+        "part_id", "j", "span", "cut", "inclusive", "n_below + n_missing AS n_left", "n_present - n_below AS n_right",
+        "n_present + n_missing AS n_part",
     )
 
 
-def goes_left(x: Column) -> Column:
+def goes_left(x: str) -> str:
     """Side of a value under `cut` and `inclusive`; missing values go left."""
-    return x.isNull() | (x < F.col("cut")) | (F.col("inclusive") & (x == F.col("cut")))
+    return f"({x} IS NULL OR {x} < cut OR (inclusive AND {x} = cut))"
 
 
 def _sensitive_rules(
@@ -146,7 +138,7 @@ def _sensitive_rules(
     """The splits whose both sides are diverse and close enough."""
     rows = _long(cells, n_features, ["part_id", sensitive])
     sided = rows.join(splits.select("part_id", "j", "cut", "inclusive"), ["part_id", "j"])
-    counts = sided.groupBy("part_id", "j", goes_left(F.col("x")).alias("left"), sensitive).agg(F.sum("n").alias("n"))
+    counts = sided.groupBy("part_id", "j", F.expr(goes_left("x")).alias("left"), sensitive).agg(F.sum("n").alias("n"))
     by = ["part_id", "j", "left"]
     ok = splits
     if rule.l is not None:
@@ -163,11 +155,11 @@ def _sensitive_rules(
     return ok
 
 
-def full_spans(cells: DataFrame, n_features: int, is_cat: Column) -> DataFrame:
+def full_spans(cells: DataFrame, n_features: int, is_cat: str) -> DataFrame:
     """(j, full_span) over the whole table."""
     values = _long(cells, n_features, []).where(F.col("x").isNotNull()).groupBy("j", "x").agg(F.lit(1).alias("one"))
     spans = values.groupBy("j").agg(F.count(F.lit(1)).alias("levels"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    return spans.select("j", F.when(is_cat, F.col("levels").cast("double")).otherwise(F.col("hi") - F.col("lo")).alias("full_span"))
+    return spans.selectExpr("j", f"if({is_cat}, CAST(levels AS double), hi - lo) AS full_span")
 
 
 def relative_span() -> Column:
@@ -177,13 +169,13 @@ def relative_span() -> Column:
 
 def choose_splits(valid: DataFrame) -> DataFrame:
     """Per partition the valid split with the largest relative span, ties in feature order."""
-    pick = F.min_by(F.struct("j", "cut", "inclusive"), F.struct(-F.round("rel_span", 12), F.col("j"))).alias("s")
+    pick = F.expr("min_by(struct(j, cut, inclusive), struct(-round(rel_span, 12), j))").alias("s")
     return valid.groupBy("part_id").agg(pick).select("part_id", "s.*")
 
 
-def _is_categorical(features: Sequence[str], categorical: Sequence[str]) -> Column:
-    codes = [j for j, c in enumerate(features) if c in categorical]
-    return F.col("j").isin(codes) if codes else F.lit(False)
+def _is_categorical(features: Sequence[str], categorical: Sequence[str]) -> str:
+    codes = ", ".join(str(j) for j, c in enumerate(features) if c in categorical)
+    return f"j IN ({codes})" if codes else "false"
 
 
 def partition(
@@ -192,7 +184,7 @@ def partition(
 ) -> Partitioning:
     """Greedy recursive partitioning of the rows into boxes that fulfil the validity rule.
 
-    `max_depth` and `min_size` stop early. The driver only sees three numbers per level.
+    `max_depth` and `min_size` stop early. The driver only sees a few counts per level.
     """
     features = list(features)
     categorical = split_types(df, features, categorical)
@@ -210,21 +202,21 @@ def partition(
     largest, depth = active.count(), 0
     while max_depth is None or depth < max_depth:
         splits = measure_splits(active, width, is_cat, ranges_for(largest * width))
-        enough = (F.col("n_left") >= max(rule.k, 1)) & (F.col("n_right") >= max(rule.k, 1)) & F.col("cut").isNotNull()
+        enough = f"cut IS NOT NULL AND least(n_left, n_right) >= {max(rule.k, 1)}"
         if min_size is not None:
-            enough = enough & (F.col("n_part") >= min_size)
+            enough += f" AND n_part >= {min_size}"
         valid = splits.where(enough)
         if uses_sensitive:
             valid = _sensitive_rules(active, materialize(valid, "splits"), width, sensitive, rule, levels)
         chosen = choose_splits(valid.join(scale, "j", "left").withColumn("rel_span", relative_span()))
-        x = reduce(lambda acc, j: acc.when(F.col("j") == j, F.col(f"__x{j}")), range(1, width), F.when(F.col("j") == 0, F.col("__x0")))
-        bit = F.when(F.col("j").isNull(), "").when(goes_left(x), "0").otherwise("1")
-        moved = active.join(chosen, "part_id", "left").withColumn("split", F.col("j").isNotNull())
-        moved = moved.withColumn("part_id", F.concat("part_id", bit)).select(*columns, "split")
+        x = "CASE j " + " ".join(f"WHEN {j} THEN `__x{j}`" for j in range(width)) + " END"
+        moved = active.withColumnRenamed("part_id", "parent").join(chosen.withColumnRenamed("part_id", "parent"), "parent", "left")
+        moved = moved.selectExpr(
+            *[f"`{c}`" for c in columns if c != "part_id"],
+            f"concat(parent, CASE WHEN j IS NULL THEN '' WHEN {goes_left(x)} THEN '0' ELSE '1' END) AS part_id", "j IS NOT NULL AS split",
+        )
         level = materialize(moved, f"mondrian{depth}")
-        sizes = level.groupBy("part_id", "split").agg(F.count(F.lit(1)).alias("m"))
-        state = sizes.agg(F.count_if("split").alias("open"), F.max(F.when(F.col("split"), F.col("m"))).alias("largest"),
-                          F.count_if(~F.col("split")).alias("closed")).first()
+        state = level.agg(F.count_if("split").alias("open"), F.count_if(~F.col("split")).alias("closed")).first()
         if state["closed"]:
             finals.append(level.where(~F.col("split")).select(*columns))
         active = level.where("split").select(*columns)
@@ -232,7 +224,11 @@ def partition(
         if not state["open"]:
             active = None
             break
-        largest = state["largest"]
+        largest = state["open"]
+        if largest * width > ROWS_PER_RANGE:
+            # what one task has to sort is the largest partition, not the level
+            sizes = active.groupBy("part_id").agg(F.count(F.lit(1)).alias("m"))
+            largest = sizes.agg(F.max("m")).first()[0]
     if active is not None:
         finals.append(active)
     cells = materialize(reduce(DataFrame.unionByName, finals), "partitions")
@@ -319,7 +315,7 @@ def partition_bounds(p: Partitioning) -> DataFrame:
     ranked = materialize(running_sums(values, "x", ["one"], ["j"], ["j"]).select("j", "x", F.col("cum_one").alias("r")), "values")
     following = ranked.select("j", (F.col("r") - 1).alias("r"), F.col("x").alias("next"))
     successors = ranked.join(following, ["j", "r"], "left").select("j", F.col("x").alias("max"), "next")
-    right = F.when(is_cat, F.col("max") + 1).otherwise(F.coalesce("next", "max"))
+    right = F.when(F.expr(is_cat), F.col("max") + 1).otherwise(F.coalesce("next", "max"))
     names = F.element_at(F.array(*[F.lit(c) for c in p.features]), F.col("j") + 1)
     return boxes.join(successors, ["j", "max"]).select("part_id", names.alias("feature"), "left", right.alias("right"))
 

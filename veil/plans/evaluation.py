@@ -207,13 +207,16 @@ VARIANTS = {("raw", "sharp"): ("s", 0.25), ("raw", "blunt"): ("s2", 0.15), ("pro
 def variant_metrics(spark, sf):
     """(dataset, model, metric, value) of keyed scores with different signal."""
     rows = V.appointments(spark, sf).select("appointment_id", (F.col("no_show") == "Yes").cast("int").alias("label"))
-    out = None
-    for (dataset, model), (name, pull) in VARIANTS.items():
-        scored = rows.withColumn("score", F.round(0.55 * uniform(name, "appointment_id") + pull * F.col("label") + 0.1, 4))
-        wide = M.classification_metrics(scored, 0.4)
-        long = wide.unpivot([], wide.columns, "metric", "value").select(F.lit(dataset).alias("dataset"), F.lit(model).alias("model"), "metric", "value")
-        out = long if out is None else out.unionByName(long)
-    return out
+    scores = {
+        f"{dataset}/{model}": F.round(0.55 * uniform(name, "appointment_id") + pull * F.col("label") + 0.1, 4)
+        for (dataset, model), (name, pull) in VARIANTS.items()
+    }
+    measures = M.rates(*[F.col(c) for c in ("tp", "fp", "tn", "fn")])
+    wide = M.confusion_by_score(rows, scores, 0.4).select(
+        F.split_part("variant", F.lit("/"), F.lit(1)).alias("dataset"), F.split_part("variant", F.lit("/"), F.lit(2)).alias("model"),
+        *[c.alias(n) for n, c in measures.items()],
+    )
+    return wide.unpivot(["dataset", "model"], list(measures), "metric", "value")
 
 
 def _variants_sql() -> str:
