@@ -100,3 +100,13 @@ def test_ranges_follow_the_size():
     assert ranges_for(0) == ranges_for(1_000_000) == 1
     assert ranges_for(1_000_001) == 2
     assert ranges_for(10**12) == 2000
+
+
+def test_scratch_of_a_session_can_be_dropped(spark, tmp_path, monkeypatch):
+    from veil.functions import lineage
+
+    monkeypatch.setattr(lineage, "shared_folder", lambda s: str(tmp_path))
+    assert materialize(spark.range(3)).count() == 3
+    assert any(tmp_path.iterdir())
+    assert lineage.drop_scratch(spark)
+    assert not any(p for p in tmp_path.iterdir() if not p.name.startswith("."))

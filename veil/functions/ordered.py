@@ -21,7 +21,7 @@ ROWS_PER_RANGE = 1_000_000
 
 
 def default_ranges(df: DataFrame) -> int:
-    return max(1, min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def ranges_for(n_rows: int) -> int:

@@ -20,8 +20,10 @@ def salt(seed: str, column: str, draw: int = 0) -> str:
 
 def uniform(salt_text: str, *keys: Column | str) -> Column:
     """Uniform in (0, 1) from 52 bits of an MD5 digest; never exactly 0 or 1."""
-    parts = [F.col(k) if isinstance(k, str) else k for k in keys]
-    text = F.concat_ws("|", F.lit(salt_text), *[p.cast("string") for p in parts])
+    text = F.lit(salt_text)
+    for k in keys:
+        value = (F.col(k) if isinstance(k, str) else k).cast("string")
+        text = F.concat(text, F.lit("|"), F.coalesce(value, F.lit("")))
     bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
     return (bits + F.lit(0.5)) / F.lit(_SPAN)
 

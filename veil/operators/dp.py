@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions.exprs import ratio
+from veil.functions.ordered import default_ranges
 from veil.functions.rand import laplace_noise, salt, uniform
 from veil.operators.profile import histogram
 
@@ -111,10 +112,11 @@ def estimate_groups(df: DataFrame, noisy: str, by: Sequence[str], p: float, q: f
 def simulate_estimates(df: DataFrame, column: str, key: str, p: float, q: float, seed: str, replicates: int) -> DataFrame:
     """Replicated response and estimation: (rep, noisy_rate, estimate, variance, normal_density).
 
-    Rows are multiplied inside the map stage and summed there, so what is shuffled is one row per
-    replicate and task. The density is that of the normal limit around the mean estimate.
+    Rows are multiplied inside the map stage and summed there, so what is shuffled afterwards is one
+    row per replicate and task. Each row costs `replicates` draws, so the two narrow columns are
+    first spread evenly by row key. The density is that of the normal limit around the mean estimate.
     """
-    rows = df.where(F.col(column).isNotNull()).select(key, column)
+    rows = df.where(F.col(column).isNotNull()).select(key, column).repartition(default_ranges(df), key)
     reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     first = uniform(f"{seed}|{column}|first", "rep", key) < F.lit(p)
     noise = F.when(uniform(f"{seed}|{column}|second", "rep", key) < F.lit(q), 0).otherwise(1)

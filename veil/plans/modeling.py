@@ -5,12 +5,10 @@ Model sizes are small here so that the checks stay quick; every query trains on
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from veil.functions.exprs import map_values
-from veil.functions.lineage import materialize, shared_folder
+from veil.functions.lineage import materialize, scratch_path
 from veil.functions.rand import salt, uniform
 from veil.operators import explain as X
 from veil.operators import metrics as M
@@ -24,7 +22,6 @@ from veil.plans.evaluation import rounded
 from veil.plans.privacy_queries import PERT, SEED, rr_sql
 from veil.plans.registry import APPT, CLEAN, query
 from veil.plans.risk_queries import SENSITIVE, T
-from veil.plans.scan_profile import APPT_COLS
 from veil.roles import APPOINTMENT_ROLES as ROLES
 from veil.sources import views as V
 from veil.sources.tables import read_csv, read_delimited
@@ -233,16 +230,9 @@ def p20(spark, sf):
     return R.guarantees(perturbed, ROLES, T, 0.3, 0.5)
 
 
-def _scratch(spark, name):
-    return f"{shared_folder(spark).rstrip('/')}/veil-{name}-{uuid.uuid4().hex}"
-
-
-CSV_COLS = [c.strip() for c in APPT_COLS.split(",")]
-
-
 @query("s1_csv_with_schema", f"WITH {APPT} SELECT CAST(patient_id AS VARCHAR) AS patient_id, appointment_id, gender, age, neighbourhood, no_show FROM appt")
 def s1(spark, sf):
-    path = _scratch(spark, "csv")
+    path = scratch_path(spark, "csv")
     V.appointments(spark, sf).select("patient_id", "appointment_id", "gender", "age", "neighbourhood", "no_show").write.option("header", True).csv(path)
     return read_csv(spark, path, "patient_id string, appointment_id bigint, gender string, age int, neighbourhood string, no_show string")
 
@@ -256,7 +246,7 @@ def s2(spark, sf):
 
     from veil.sources.tables import table
 
-    path = _scratch(spark, "delimited")
+    path = scratch_path(spark, "delimited")
     line = F.concat_ws(", ", F.col("o_orderkey").cast("string"), "o_orderpriority", F.col("o_totalprice").cast("string"))
     table(spark, sf, "orders").select(line.alias("value")).write.text(path)
     return read_delimited(spark, path, ["key", "priority", "price"], {"price": T_.DoubleType()}, ", ")
@@ -264,7 +254,7 @@ def s2(spark, sf):
 
 @query("s3_csv_inferred", f"WITH {APPT} SELECT CAST(patient_id AS VARCHAR) AS patient_id, age, handcap, region FROM appt")
 def s3(spark, sf):
-    path = _scratch(spark, "csv")
+    path = scratch_path(spark, "csv")
     V.appointments(spark, sf).select("patient_id", "age", "handcap", "region").write.option("header", True).csv(path)
     return read_csv(spark, path, strings=["patient_id"])
 
@@ -276,7 +266,7 @@ def s3(spark, sf):
 def s5(spark, sf):
     released, perturbed = R.staged_release(V.clean_appointments(spark, sf), ROLES, SEED)
     R.check_gate(perturbed, ROLES, k=2)
-    path = _scratch(spark, "release")
+    path = scratch_path(spark, "release")
     R.write_release(released, ROLES, path, ["region"])
     return spark.read.parquet(path)
 
@@ -289,7 +279,7 @@ def s5(spark, sf):
 def s6(spark, sf):
     from veil.operators.risk import class_sizes, risk_profile
 
-    rows, path = V.clean_appointments(spark, sf), _scratch(spark, "results")
+    rows, path = V.clean_appointments(spark, sf), scratch_path(spark, "results")
     for name, quasi in (("raw", ["age", "gender", "neighbourhood"]), ("generalized", ROLES.quasi)):
         profile = risk_profile(class_sizes(rows, quasi)).select(F.lit(name).alias("stage"), "n_classes")
         R.write_results(profile, path)
