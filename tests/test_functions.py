@@ -110,3 +110,27 @@ def test_scratch_of_a_session_can_be_dropped(spark, tmp_path, monkeypatch):
     assert any(tmp_path.iterdir())
     assert lineage.drop_scratch(spark)
     assert not any(p for p in tmp_path.iterdir() if not p.name.startswith("."))
+
+
+@pytest.mark.parametrize("ranges", [None, 3])
+def test_bracketed_quantiles_match_pandas(spark, ranges):
+    from veil.functions import ordered
+
+    rng = random.Random(8)
+    data = pd.DataFrame({"a": [rng.gauss(0, 5) for _ in range(6000)], "hot": [7.0] * 2500 + [float(i) for i in range(3500)]})
+    data.loc[:300, "a"] = None
+    df = spark.createDataFrame([(None if pd.isna(a) else float(a), float(h), None) for a, h in data.itertuples(index=False)], "a double, hot double, none double").repartition(6)
+    qs = {"low": 0.0, "q": 0.25, "m": 0.5, "z": 0.999, "high": 1.0}
+    got = {r["column_name"]: r for r in ordered.exact_quantiles(df, ["a", "hot", "none"], qs, ranges=ranges).collect()}
+    assert set(got) == {"a", "hot"}
+    for c in got:
+        assert [got[c][k] for k in qs] == pytest.approx(list(data[c].quantile(list(qs.values()))))
+
+
+def test_a_missed_bracket_falls_back_to_sorting(spark):
+    from veil.functions import ordered
+
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    sketches = ordered.column_sketches(df, ["v"], {"m": 0.5})
+    sketches["v"]["brackets"]["m"] = (900.0, 950.0)
+    assert ordered.exact_quantiles(df, ["v"], {"m": 0.5}, sketches).first()["m"] == 499.5

@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 
 from veil.functions.exprs import join_groups, ratio
 from veil.functions.lineage import materialize
-from veil.functions.ordered import quantiles_from_counts, ranges_for, running_sums, value_counts_long
+from veil.functions.ordered import (
+    column_sketches, exact_quantiles, quantiles_from_counts, ranges_for, running_sums, value_counts_long,
+)
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
@@ -41,14 +43,10 @@ def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 def numeric_summary(df: DataFrame, columns: Sequence[str], ranges: int | None = None) -> DataFrame:
     """count, mean, std (n-1), min, quartiles (linear interpolation) and max per column."""
-    counts = value_counts_long(df, columns).withColumn("s", F.col("value") * F.col("n"))
-    mean = F.col("total_s") / F.col("total_n")
-    squares = F.sum(F.col("n") * F.pow(F.col("value") - mean, F.lit(2.0)))
-    moments = [
-        F.sum("n").alias("count"), F.max(mean).alias("mean"),
-        F.sqrt(ratio(squares, F.sum("n") - 1)).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-    ]
-    out = quantiles_from_counts(counts, "value", "n", QUARTILES, ["column_name"], ranges, ["s"], moments)
+    sketches = column_sketches(df, columns, QUARTILES)
+    moments = [(c, *[sketches[c][m] for m in ("n", "mean", "std", "min", "max")]) for c in columns]
+    table = df.sparkSession.createDataFrame(moments, "column_name string, count bigint, mean double, std double, min double, max double")
+    out = table.join(exact_quantiles(df, columns, QUARTILES, sketches, ranges), "column_name", "left")
     return out.select(
         "column_name", "count",
         *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "q25", "median", "q75", "max")],
@@ -164,30 +162,25 @@ def cumulative_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 def box_stats(df: DataFrame, column: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Quartiles, 0.99 quantile, 1.5 IQR whiskers and outlier count, optionally per group."""
-    by = list(by)
-    counts = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(*by, F.col(column).cast("double").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    counts = materialize(counts, "box")
-    ranges = ranges_for(counts.count()) if ranges is None else ranges
-    quantiles = quantiles_from_counts(counts, "value", "n", {**QUARTILES, "q99": 0.99}, by, ranges)
-    reach = 1.5 * (F.col("q75") - F.col("q25"))
-    fences = quantiles.withColumn("__lo", F.col("q25") - reach).withColumn("__hi", F.col("q75") + reach)
+    by, qs = list(by), {**QUARTILES, "q99": 0.99}
+    x = F.col(column).cast("double")
     if by:
-        joined = join_groups(counts, fences, by)
+        counts = df.where(x.isNotNull()).groupBy(*by, x.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        counts = materialize(counts, "box")
+        ranges = ranges_for(counts.count()) if ranges is None else ranges
+        quantiles = quantiles_from_counts(counts, "value", "n", qs, by, ranges)
+        rows = join_groups(counts, quantiles, by)
     else:
-        packed = fences.select(F.struct("*").alias("f"))
-        joined = counts.withColumn("f", packed.scalar()).select("value", "n", "f.*")
-    inside = (F.col("value") >= F.col("__lo")) & (F.col("value") <= F.col("__hi"))
-    names = ["q25", "median", "q75", "q99"]
-    out = joined.groupBy(*by, *names).agg(
+        packed = exact_quantiles(df, [column], qs, ranges=ranges).select(F.struct(*qs).alias("f"))
+        rows = df.where(x.isNotNull()).select(x.alias("value"), F.lit(1).alias("n"), packed.scalar().alias("f")).select("value", "n", "f.*")
+    reach = 1.5 * (F.col("q75") - F.col("q25"))
+    inside = (F.col("value") >= F.col("q25") - reach) & (F.col("value") <= F.col("q75") + reach)
+    out = rows.groupBy(*by, *qs).agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
         F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("n_outliers"),
     )
-    rounded = [F.round(c, 6).alias(c) for c in (*names, "whisker_low", "whisker_high")]
+    rounded = [F.round(c, 6).alias(c) for c in (*qs, "whisker_low", "whisker_high")]
     return out.select(*by, *rounded, "n_outliers")
 
 
