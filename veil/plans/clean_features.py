@@ -7,8 +7,10 @@ from math import inf
 from pyspark.sql import functions as F
 
 from veil.functions.exprs import bin_column, map_values
+from veil.functions.rand import salt
 from veil.operators import clean as C
-from veil.plans.registry import AGE_CASE, APPT, CLEAN, query
+from veil.operators.dp import respond_all
+from veil.plans.registry import AGE_CASE, APPT, CLEAN, query, uniform_sql
 from veil.roles import APPOINTMENT_ROLES
 from veil.sources import views as V
 from veil.sources.tables import table
@@ -342,12 +344,37 @@ def feature_base(df):
     return C.label_encode(C.label_encode(df, "region", "region_code"), "neighbourhood", "neighbourhood_code")
 
 
-@query(
-    "e24_full_feature_set",
-    f"""WITH {CLEAN} SELECT appointment_id, age, CAST(gender = 'M' AS INT) AS gender_code,
-    CAST(dense_rank() OVER (ORDER BY neighbourhood) - 1 AS INT) AS neighbourhood_code, CAST(lead_days AS INT) AS lead_days, appt_dow, appt_month, sched_dow, sched_hour,
-    CAST({_bins_sql('lead_days', LEAD_CODE_EDGES, list(range(7)), False)} AS INT) AS lead_category, CAST(lead_days <= 0 AS INT) AS is_same_day,
-    CAST(appt_dow >= 5 AS INT) AS is_weekend, sms_received, scholarship, hypertension, diabetes, alcoholism, handcap_binary FROM clean""",
+DP_FLAGS = ["hypertension", "diabetes", "alcoholism", "handcap_binary"]
+_CAL_SQL = (
+    "CAST(lead_days AS INT) AS lead_days, appt_dow, appt_month, sched_dow, sched_hour,"
+    f" CAST({_bins_sql('lead_days', LEAD_CODE_EDGES, list(range(7)), False)} AS INT) AS lead_category, CAST(lead_days <= 0 AS INT) AS is_same_day,"
+    " CAST(appt_dow >= 5 AS INT) AS is_weekend, sms_received"
 )
-def e24(spark, sf):
-    return C.select_features(feature_base(V.clean_appointments(spark, sf)), "full", ["appointment_id"])
+_GENDER = "CAST(gender = 'M' AS INT) AS gender_code"
+_REGION = "CAST(dense_rank() OVER (ORDER BY region) - 1 AS INT) AS region_code"
+_NEIGHBOURHOOD = "CAST(dense_rank() OVER (ORDER BY neighbourhood) - 1 AS INT) AS neighbourhood_code"
+_AGE_CODE = "CAST(CASE age_group WHEN '0-14' THEN 0 WHEN '15-24' THEN 1 WHEN '25-44' THEN 2 WHEN '45-64' THEN 3 WHEN '65+' THEN 4 END AS INT) AS age_group_code"
+
+
+def _response_sql(column: str) -> str:
+    first, second = (uniform_sql(salt("veil", column, d), "appointment_id") for d in (0, 1))
+    return f"CASE WHEN {first} < 0.3 THEN CASE WHEN {second} < 0.5 THEN 0 ELSE 1 END ELSE {column} END"
+
+
+FEATURE_SQL = {
+    "anonymized": f"{_AGE_CODE}, {_GENDER}, {_REGION}, {_CAL_SQL}, scholarship, "
+    + ", ".join(f"{_response_sql(c)} AS {c}_dp" for c in DP_FLAGS)
+    + ", " + " + ".join(f"({_response_sql(c)})" for c in DP_FLAGS) + " AS health_burden_dp",
+    "partial": f"age, {_GENDER}, {_REGION}, {_CAL_SQL}, scholarship, hypertension, diabetes, alcoholism, handcap_binary",
+    "full": f"age, {_GENDER}, {_NEIGHBOURHOOD}, {_CAL_SQL}, scholarship, hypertension, diabetes, alcoholism, handcap_binary",
+    "non_anonymized": f"age, {_GENDER}, {_NEIGHBOURHOOD}, CAST(lead_days AS INT) AS lead_days, appt_dow, appt_month, sched_dow, sms_received, scholarship,"
+    " hypertension, diabetes, alcoholism, handcap, round(ln(1 + lead_days), 6) AS log_lead_days, hypertension + diabetes + alcoholism + handcap AS health_burden",
+}
+
+for _set, _sql in FEATURE_SQL.items():
+
+    @query(f"e24_{_set}_feature_set", f"WITH {CLEAN} SELECT appointment_id, {_sql} FROM clean")
+    def _e24(spark, sf, name=_set):
+        rows = respond_all(V.clean_appointments(spark, sf), DP_FLAGS, "appointment_id", 0.3, 0.5, "veil")
+        base = feature_base(rows.withColumn("health_burden_dp", C.flag_score([f"{c}_dp" for c in DP_FLAGS])))
+        return C.select_features(base.withColumn("log_lead_days", F.round("log_lead_days", 6)), name, ["appointment_id"])
