@@ -124,9 +124,9 @@ def test_missing_values_go_left_and_no_row_is_lost(spark):
 
 def test_ranges_do_not_change_the_result(spark, monkeypatch):
     rows = sample(80, 11)
-    plain, _, _ = spark_partitions(spark, rows, SCHEMA, ["a", "h", "c"], M.Validity(4))
+    plain, _, _ = spark_partitions(spark, rows, SCHEMA, ["a", "h", "c"], M.Validity(4), max_depth=3)
     monkeypatch.setattr(M, "ranges_for", lambda n: 3)
-    cut, _, _ = spark_partitions(spark, rows, SCHEMA, ["a", "h", "c"], M.Validity(4))
+    cut, _, _ = spark_partitions(spark, rows, SCHEMA, ["a", "h", "c"], M.Validity(4), max_depth=3)
     assert plain == cut
 
 
@@ -163,6 +163,6 @@ def test_result_does_not_depend_on_partitioning(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, " + SCHEMA)
     ids = []
     for n in (1, 7, 40):
-        p = M.partition(df.repartition(n), ["a", "c"], M.Validity(5))
+        p = M.partition(df.repartition(n), ["a", "c"], M.Validity(5), max_depth=2)
         ids.append({r["id"]: r["part_id"] for r in p.assign(df).collect()})
     assert ids[0] == ids[1] == ids[2]

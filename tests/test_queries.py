@@ -7,7 +7,8 @@ from veil.plans import ORACLES, QUERIES
 
 # trained over several minutes together; run by `python tests/oracle.py`
 SLOW = {"v9_calibrated_ensemble", "v10_out_of_fold", "v10_train_and_evaluate", "v24_feature_importance", "v28_isolated_sweeps",
-        "v27_response_model_sweep", "m13_compare_rules", "v6_logistic_regression"}
+        "v27_response_model_sweep", "m13_compare_rules", "v6_logistic_regression",
+        "m8_composed_rules", "m6_partition_k3"}
 
 
 @pytest.fixture(scope="module")
