@@ -207,7 +207,10 @@ def m7(spark, sf):
     return p.cells.groupBy("part_id").agg(F.sum("n").alias("n"))
 
 
-@query("m8_composed_rules")
+ADULT_PART_LT = f"{ADULT}, {partition_sql('adult', 'person_id', FEATURES, [], FEATURES, 50, 6, 'income', l=2, t=0.2)}"
+
+
+@query("m8_composed_rules", f"WITH {ADULT_PART_LT} SELECT pid AS part_id, count(*) AS n FROM part GROUP BY 1")
 def m8(spark, sf):
     p = M.partition(adult(spark, sf), FEATURES, M.Validity(50, l=2, t=0.2), "income", max_depth=6)
     return p.cells.groupBy("part_id").agg(F.sum("n").alias("n"))
@@ -266,7 +269,18 @@ def m12(spark, sf):
     return M.partition_statistics(adult(spark, sf), adult_partitioning(spark, sf), "income")
 
 
-@query("m13_compare_rules")
+def _compare_sql() -> str:
+    parts = []
+    for name, options in {"k": {}, "k+l": {"l": 2}, "k+t": {"t": 0.2}}.items():
+        chain = partition_sql("adult", "person_id", FEATURES, [], FEATURES, 30, 6, "income", **options)
+        parts.append(
+            f"SELECT '{name}' AS rule, * FROM (WITH {ADULT}, {chain}, z AS (SELECT pid, count(*) AS n FROM part GROUP BY 1)"
+            " SELECT count(*) AS n_partitions, min(n) AS min_size, round(avg(n), 6) AS mean_size, CAST(sum(n) AS BIGINT) AS n_rows FROM z)"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query("m13_compare_rules", _compare_sql())
 def m13(spark, sf):
     rules = {"k": M.Validity(30), "k+l": M.Validity(30, l=2), "k+t": M.Validity(30, t=0.2)}
     return M.compare_rules(adult(spark, sf), FEATURES, "income", rules, max_depth=6)
