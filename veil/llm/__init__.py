@@ -1,6 +1,8 @@
 """Operators for training data. `QUERIES` and `ORACLES` hold their registered queries."""
 
+from veil.llm.decontaminate import op1_decontamination
 from veil.llm.simhash import op3_simhash
+from veil.llm.tokens import op8_token_counts
 
-QUERIES = {"op3_simhash": op3_simhash}
+QUERIES = {q.__name__: q for q in (op1_decontamination, op3_simhash, op8_token_counts)}
 ORACLES: dict[str, str] = {}
