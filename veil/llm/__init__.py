@@ -1,8 +1,11 @@
 """Operators for training data. `QUERIES` and `ORACLES` hold their registered queries."""
 
 from veil.llm.decontaminate import op1_decontamination
+from veil.llm.langid import op7_language_id
+from veil.llm.mixing import op4_mixing
+from veil.llm.output import op9_token_output
 from veil.llm.simhash import op3_simhash
 from veil.llm.tokens import op8_token_counts
 
-QUERIES = {q.__name__: q for q in (op1_decontamination, op3_simhash, op8_token_counts)}
+QUERIES = {q.__name__: q for q in (op1_decontamination, op3_simhash, op4_mixing, op7_language_id, op8_token_counts, op9_token_output)}
 ORACLES: dict[str, str] = {}
