@@ -69,7 +69,7 @@ def rate(most: float = MOST) -> Column:
 
 def multipliers(sizes: DataFrame, goals: DataFrame, most: float = MOST, steps: int = STEPS) -> DataFrame:
     """`goals` with each source's multiplier and scale (mean size of a word's document), from (source, size, n)."""
-    scale = sizes.groupBy("source").agg((F.sum(F.col("size").cast("double") ** 2 * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("scale"))
+    scale = sizes.groupBy("source").agg(F.try_divide(F.sum(F.col("size").cast("double") ** 2 * F.col("n")), F.sum(F.col("size") * F.col("n"))).alias("scale"))
     state = same_source(goals, scale).withColumn("multiplier", F.lit(0.0)).withColumn("off", F.lit(1.0))
     state = stored(state, "multipliers")
     words = F.col("size") * F.col("n")
