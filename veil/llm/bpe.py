@@ -9,6 +9,7 @@ merge never makes a pair of lower rank, so this equals merging one pair at a tim
 from __future__ import annotations
 
 import json
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,11 +18,11 @@ import regex
 SENTINEL = "￿"
 NONE = np.int32(2**31 - 1)
 #: Characters cut at once, pre-tokens merged at once, and pre-tokens remembered by a worker.
-CHUNK, MERGED_AT_ONCE, REMEMBERED = 1 << 21, 1 << 16, 1 << 19
+CHUNK, MERGED_AT_ONCE, REMEMBERED = 1 << 20, 1 << 16, 1 << 19
 
 LETTER, NUMBER, SPACE, BOUNDARY = 1, 2, 3, 4
 _classes: np.ndarray | None = None
-_caches: dict[tuple, dict] = {}
+_memories: dict[tuple, dict] = {}
 
 
 @dataclass(frozen=True)
@@ -104,58 +105,75 @@ def _ranks(v: Vocabulary, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(known, v.ranks[place], NONE), place
 
 
-def merge(v: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
-    """Symbols of each pre-token (none may be empty) after all merges."""
-    out: list[np.ndarray] = [None] * len(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
+def merge(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all pre-tokens (none may be empty) after all merges, in a row, and the number of symbols of each."""
+    lengths = np.fromiter(map(len, words), np.int32, len(words))
     symbols = v.byte_ids[np.frombuffer(b"".join(words), np.uint8)].astype(np.uint32)
-    owner = np.repeat(np.arange(len(words)), lengths)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
     rank = np.full(len(symbols), NONE, np.int32)
-    place = np.zeros(len(symbols), np.int64)
+    place = np.zeros(len(symbols), np.int32)
     fresh = np.arange(len(symbols))
+    counts = np.zeros(len(words), np.int64)
+    finished: list[tuple[np.ndarray, np.ndarray]] = []
     while len(symbols):
         # pairs that are new: (i, i + 1) within one pre-token
+        rank[fresh] = NONE
         inner = fresh[fresh + 1 < len(symbols)]
         inner = inner[owner[inner] == owner[inner + 1]]
-        rank[fresh] = NONE
         rank[inner], place[inner] = _ranks(v, symbols[inner] << np.uint32(16) | symbols[inner + 1])
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         size = np.diff(np.r_[first, len(owner)])
         least = np.minimum.reduceat(rank, first)
         done = least == NONE
         if done.any():
-            for i, n in zip(first[done].tolist(), size[done].tolist()):
-                out[owner[i]] = symbols[i : i + n].astype(np.uint16)
             rest = np.repeat(~done, size)
+            counts[owner[first[done]]] = size[done]
+            finished.append((owner[~rest], symbols[~rest].astype(np.uint16)))
             symbols, owner, rank, place = symbols[rest], owner[rest], rank[rest], place[rest]
             size, least = size[~done], least[~done]
             if not len(symbols):
                 break
         hit = np.flatnonzero(rank == np.repeat(least, size))
         # in a run of overlapping pairs every other one merges, from the left
-        run = np.cumsum(np.r_[True, np.diff(hit) != 1]) - 1
-        begin = np.flatnonzero(np.r_[True, np.diff(hit) != 1])
-        hit = hit[(np.arange(len(hit)) - begin[run]) % 2 == 0]
+        gap = np.diff(hit) != 1
+        if not gap.all():
+            begin = np.flatnonzero(np.r_[True, gap])
+            hit = hit[(np.arange(len(hit)) - begin[np.cumsum(np.r_[False, gap])]) % 2 == 0]
         symbols[hit] = v.merged[place[hit]]
         rest = np.ones(len(symbols), bool)
         rest[hit + 1] = False
         moved = hit - np.arange(len(hit))
         symbols, owner, rank, place = symbols[rest], owner[rest], rank[rest], place[rest]
-        fresh = np.unique(np.r_[moved, np.maximum(moved - 1, 0)])
-    return out
+        fresh = np.concatenate([moved, moved[moved > 0] - 1])
+    if not finished:
+        return np.zeros(0, np.uint16), counts
+    owners, out = (np.concatenate(x) for x in zip(*finished))
+    return out[np.argsort(owners, kind="stable")], counts
+
+
+def lengths(symbols: np.ndarray, counts: np.ndarray) -> list[int]:
+    return counts.tolist()
 
 
-def _known(v: Vocabulary, words: set[bytes], value) -> dict:
-    """The worker's memory of pre-tokens, with all of `words` in it."""
-    cache = _caches.setdefault((v.name, value), {})
-    missing = list(words.difference(cache))
-    if len(cache) + len(missing) > REMEMBERED:
-        cache.clear()
-        missing = list(words)
+def packed(symbols: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Symbols of each pre-token as little-endian 16-bit numbers."""
+    data, ends = symbols.astype("<u2").tobytes(), (2 * np.cumsum(counts)).tolist()
+    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
+@contextmanager
+def _known(v: Vocabulary, words: set[bytes], values):
+    """What `values` makes of the symbols of each pre-token, with all of `words` in it. Memory that is full learns no more:
+    what it misses is forgotten afterwards."""
+    memory = _memories.setdefault((v.name, values), {})
+    missing = list(words.difference(memory))
     for at in range(0, len(missing), MERGED_AT_ONCE):
         part = missing[at : at + MERGED_AT_ONCE]
-        cache.update(zip(part, map(value, merge(v, part))))
-    return cache
+        memory.update(zip(part, values(*merge(v, part))))
+    yield memory
+    if len(memory) > REMEMBERED:
+        for word in missing:
+            del memory[word]
 
 
 def _chunks(texts: list[str], specials: tuple[str, ...]):
@@ -189,8 +207,8 @@ def count(v: Vocabulary, texts: list[str], specials: bool = True) -> np.ndarray:
         if not owners:
             continue
         words, ends = pretokens([piece for _, piece in chunk if piece is not None])
-        cache = _known(v, set(words), len)
-        counts = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+        with _known(v, set(words), lengths) as memory:
+            counts = np.fromiter(map(memory.__getitem__, words), np.int64, len(words))
         counts[ends] = 0
         np.add.at(out, owners, np.add.reduceat(counts, np.r_[0, ends[:-1] + 1]))
     return out
@@ -201,12 +219,8 @@ def encode(v: Vocabulary, texts: list[str]) -> list[bytes]:
     parts: list[list[bytes]] = [[] for _ in texts]
     for chunk in _chunks(texts, ()):
         words, ends = pretokens([piece for _, piece in chunk])
-        cache = _known(v, set(words), _packed)
-        ids = list(map(cache.__getitem__, words))
+        with _known(v, set(words), packed) as memory:
+            ids = list(map(memory.__getitem__, words))
         for (i, _), a, b in zip(chunk, np.r_[0, ends[:-1] + 1].tolist(), ends.tolist()):
             parts[i].append(b"".join(ids[a:b]))
     return [b"".join(p) for p in parts]
-
-
-def _packed(ids: np.ndarray) -> bytes:
-    return ids.astype("<u2").tobytes()

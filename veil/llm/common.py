@@ -8,7 +8,9 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,6 +19,8 @@ from veil.functions.lineage import materialize
 
 #: Words of `[^\x20\x09-\x0D]+` as a Java pattern.
 NON_SPACE = "[^\\x20\\x09-\\x0D]+"
+#: Bytes of text that a task works on at once.
+SLICE = 8 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -78,14 +82,25 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [v or b"" for v in values.cast(pa.binary()).to_pylist()]
 
 
-def with_columns(df: DataFrame, added: StructType, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[tuple]]) -> DataFrame:
-    """`df` with columns computed from Arrow batches: `fn` gives for each batch the batch and one list per added column."""
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of each part have about `most` bytes, or are one text."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column)).cast(pa.binary())), 0).to_numpy()
+        part = np.cumsum(size, dtype=np.int64) // most
+        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else [0]
+        for a, b in zip(edges[:-1], edges[1:]):
+            yield batch.slice(a, b - a)
+
+
+def with_columns(df: DataFrame, text: str, added: StructType, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[tuple]]) -> DataFrame:
+    """`df` with columns computed from Arrow batches, cut by the size of `text`: `fn` gives for each batch the batch and
+    one list per added column."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     fields = list(to_arrow_schema(added))
 
     def run(batches):
-        for batch, columns in fn(batches):
+        for batch, columns in fn(slices(batches, text)):
             arrays = [pa.array(c, f.type) for c, f in zip(columns, fields)]
             yield pa.RecordBatch.from_arrays(batch.columns + arrays, names=[*batch.schema.names, *(f.name for f in fields)])
 

@@ -234,7 +234,7 @@ def _pass(docs: DataFrame, block, text: str, name: str, first: bool) -> DataFram
             before = [None] * len(found) if first else batch.column(batch.schema.get_field_index(name)).to_pylist()
             yield batch, [_scan(block.value, found, before)]
 
-    out = with_columns(docs, StructType([StructField(target, HITS)]), run)
+    out = with_columns(docs, text, StructType([StructField(target, HITS)]), run)
     return out if first else out.drop(name).withColumnRenamed(target, name)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from veil.llm.bpe import LETTER, character_classes
-from veil.llm.common import crc32_mod, ship, stored, table, texts, with_columns
+from veil.llm.common import crc32_mod, ship, slices, stored, table, texts, with_columns
 
 ORDERS, PROFILE, SAMPLE = 3, 300, 2000
 UNKNOWN = "und"
@@ -89,12 +89,15 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     spark = docs.sparkSession
     ship(spark)
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
+    # about twice the sample of each language is shuffled, whatever the language's size
+    sizes = stored(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("lang", "__lang"), "sizes")
+    likely = labelled.join(sizes, F.col("lang") == F.col("__lang")).where(F.pmod("h", F.lit(1 << 30)) < F.lit(2.0 * sample * (1 << 30)) / F.col("rows"))
     first = Window.partitionBy("lang").orderBy("h")
-    chosen = labelled.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("lang", "text")
+    chosen = likely.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
 
     def counted(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
             found = texts(batch, "text")
             for name in sorted(set(langs)):
@@ -118,7 +121,7 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str
             found = [shared.value.predict(t.decode("utf-8", "replace")) for t in texts(batch, text)]
             yield batch, [[f[0] for f in found], [f[1] for f in found]]
 
-    return with_columns(docs, StructType([StructField(lang, StringType(), False), StructField(score, DoubleType(), False)]), run)
+    return with_columns(docs, text, StructType([StructField(lang, StringType(), False), StructField(score, DoubleType(), False)]), run)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from veil.llm.common import crc32_mod, ship, stored, table, texts, with_columns
+from veil.llm.common import crc32_mod, ship, slices, stored, table, texts, with_columns
 
 PIECE, DICTIONARY, LEVEL = 2048, 64 << 10, 3
 FIT, CALIBRATE = 3000, 3000
@@ -69,7 +69,7 @@ def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3)
 
 
 def _pieces(batches):
-    for batch in batches:
+    for batch in slices(batches, "text"):
         label, own = batch.column("label").to_pylist(), texts(batch, "text")
         rows = [(y, t[i : i + PIECE]) for y, t in zip(label, own) for i in range(0, len(t), PIECE)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["label", "piece"])
@@ -129,7 +129,7 @@ def differences(docs: DataFrame, model: Model, text: str = "text", name: str = "
         for batch in batches:
             yield batch, [[meter.difference(t) for t in texts(batch, text)]]
 
-    return with_columns(docs, StructType([StructField(name, DoubleType(), False)]), run)
+    return with_columns(docs, text, StructType([StructField(name, DoubleType(), False)]), run)
 
 
 def score(difference: Column, model: Model) -> Column:

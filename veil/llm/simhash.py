@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, name:
         for batch in batches:
             yield batch, [np.array([fingerprint(t, words) for t in texts(batch, text)], np.uint64).view(np.int64)]
 
-    return with_columns(docs, StructType([StructField(name, LongType(), False)]), run)
+    return with_columns(docs, text, StructType([StructField(name, LongType(), False)]), run)
 
 
 def ball(bits: int, flips: int) -> np.ndarray:
@@ -152,13 +152,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay: of each component the one with the least id, and of repeated ids with equal text one row.
+    """The documents that stay: of each component the one with the least id, and of rows that repeat id and text one.
 
-    Documents without an id cannot be told apart and all stay.
+    Documents without an id cannot be told apart and all stay. Only ids are shuffled, not texts, as long as those that
+    go are few enough for Spark to broadcast.
     """
-    kept = near_duplicates(docs.where(F.col(doc_id).isNotNull()), doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
-    return named.unionByName(docs.where(F.col(doc_id).isNull()))
+    named = docs.where(F.col(doc_id).isNotNull())
+    ids = stored(near_duplicates(named, doc_id, text).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "classes")
+    gone = ids.where("doc_id <> component_id OR n > 1").select(F.col("doc_id").alias("__id"))
+    repeated = stored(ids.where("doc_id = component_id AND n > 1").select(F.col("doc_id").alias("__id")), "repeated")
+    kept = docs.join(gone, docs[doc_id] == F.col("__id"), "left_anti")
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(repeated, docs[doc_id] == F.col("__id"), "left_semi").dropDuplicates([doc_id, text]))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

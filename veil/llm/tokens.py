@@ -27,7 +27,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", name: str = "n_
         for batch in batches:
             yield batch, [count(vocabulary.value, [t.decode("utf-8", "replace") for t in texts(batch, text)], specials)]
 
-    return with_columns(docs, StructType([StructField(free_name(docs, name), LongType(), False)]), run)
+    return with_columns(docs, text, StructType([StructField(free_name(docs, name), LongType(), False)]), run)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
