@@ -6,6 +6,9 @@ so every sequence has one global slot and every slot one sequence. The shard of
 a shard, which is the partition that writes it: one file a shard, a record of fixed stride for each slot. A reader at
 slot s opens shard s // slots at byte (s % slots) * stride and reads on.
 
+Shards are written in waves, each a range of slots with a folder and a shuffle of its own, whose files go when it ends:
+so little of the shuffle is on disk at once, and a job that broke off need only repeat the waves it has not written.
+
 Shards are written by Spark's text sink, which commits whole tasks, so a record ends with a line feed that belongs to
 its stride. Ids are 16-bit little-endian numbers; the last sequence is filled up with end tokens.
 
@@ -24,10 +27,10 @@ from pyspark.sql import functions as F
 
 from veil.functions.lineage import scratch_path
 from veil.llm.bpe import encode, load
-from veil.llm.common import ship, shuffles_dropped, stored, table, texts
+from veil.llm.common import ship, shuffles_dropped, slices, stored, table, texts
 
 VOCABULARY, END = "byte_bpe_50k.json", 50256
-LENGTH, SLOTS, KEY, ROUNDS = 1024, 1 << 12, 20240229, 6
+LENGTH, SLOTS, KEY, ROUNDS, WAVES = 1024, 1 << 12, 20240229, 6, 4
 
 
 class Permutation:
@@ -76,7 +79,7 @@ def tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     def run(batches):
         part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches, "text"):
             ids = [x + closing for x in encode(vocabulary.value, [t.decode("utf-8", "replace") for t in texts(batch, "text")])]
             n = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
             start = at + np.cumsum(n) - n
@@ -85,7 +88,10 @@ def tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return stored(chosen.mapInArrow(run, "part int, start long, n long, doc_id long, ids binary"), "tokens")
+    found = chosen.mapInArrow(run, "part int, start long, n long, doc_id long, ids binary")
+    path = scratch_path(docs.sparkSession, "tokens")
+    found.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(found.schema).parquet(path)
 
 
 def placed(table_: DataFrame) -> tuple[DataFrame, int]:
@@ -97,8 +103,8 @@ def placed(table_: DataFrame) -> tuple[DataFrame, int]:
     return table_.join(bases.select("part", "base"), "part").withColumn("at", F.col("base") + F.col("start")).drop("part", "start", "base"), total
 
 
-def _pieces(permutation: Permutation, length: int, slots: int, with_ids: bool):
-    """Cuts documents at the borders of sequences: (shard, slot, at, n, doc_id[, ids])."""
+def _pieces(permutation: Permutation, length: int, slots: int, begin_slot: int = 0, end_slot: int | None = None, with_ids: bool = True):
+    """Cuts documents at the borders of sequences, for a range of slots: (shard, slot, at, n, doc_id[, ids]); shards count from its first."""
 
     def run(batches):
         for batch in batches:
@@ -107,9 +113,11 @@ def _pieces(permutation: Permutation, length: int, slots: int, with_ids: bool):
             count = last - first + 1
             row = np.repeat(np.arange(len(at)), count)
             sequence = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            begin, end = np.maximum(at[row], sequence * length), np.minimum(at[row] + n[row], (sequence + 1) * length)
             slot = permutation.slot(sequence)
-            arrays = [pa.array((slot // slots).astype(np.int32)), pa.array(slot), pa.array(begin - sequence * length), pa.array(end - begin), batch.column("doc_id").take(pa.array(row))]
+            own = (slot >= begin_slot) & (slot < (permutation.n if end_slot is None else end_slot))
+            row, sequence, slot = row[own], sequence[own], slot[own]
+            begin, end = np.maximum(at[row], sequence * length), np.minimum(at[row] + n[row], (sequence + 1) * length)
+            arrays = [pa.array(((slot - begin_slot) // slots).astype(np.int32)), pa.array(slot), pa.array(begin - sequence * length), pa.array(end - begin), batch.column("doc_id").take(pa.array(row))]
             names = ["shard", "slot", "at", "n", "doc_id"]
             if with_ids:
                 ids = batch.column("ids").to_pylist()
@@ -145,19 +153,23 @@ def _records(length: int, end: int):
     return run
 
 
-def write_shards(docs: DataFrame, tokenizer: str, path: str, length: int = LENGTH, slots: int = SLOTS, key: int = KEY, doc_id: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
-    """Writes the shards below `path` and returns their index: slot, shard, byte offset, number of tokens that are not
+def write_shards(docs: DataFrame, tokenizer: str, path: str, length: int = LENGTH, slots: int = SLOTS, key: int = KEY, doc_id: str = "doc_id", text: str = "text", end: int = END, waves: int = WAVES) -> DataFrame:
+    """Writes the shards below `path`, each wave in a folder named by its first shard, and returns their index: slot, shard, byte offset, number of tokens that are not
     filling, and the ids of the documents in the sequence, in its order."""
     spark = docs.sparkSession
     all_tokens, total = placed(tokens(docs, tokenizer, doc_id, text, end))
     count = -(-total // length)
     shards = max(1, -(-count // slots))
     order = Permutation(max(1, count), key)
-    pieces = all_tokens.mapInArrow(_pieces(order, length, slots, True), f"{PIECE}, ids binary")
-    sorted_ = pieces.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot", "at").select("slot", "ids")
-    with shuffles_dropped(spark):
-        sorted_.mapInArrow(_records(length, end), "record binary").select(F.col("record").cast("string").alias("value")).write.text(path)
-    index = all_tokens.select("doc_id", "n", "at").mapInArrow(_pieces(order, length, slots, False), PIECE)
+    per_wave = -(-shards // waves)
+    for wave in range(-(-shards // per_wave)):
+        begin = wave * per_wave * slots
+        stop = min(count, begin + per_wave * slots)
+        pieces = all_tokens.mapInArrow(_pieces(order, length, slots, begin, stop), f"{PIECE}, ids binary")
+        sorted_ = pieces.repartitionById(max(1, -(-(stop - begin) // slots)), F.col("shard")).sortWithinPartitions("slot", "at").select("slot", "ids")
+        with shuffles_dropped(spark):
+            sorted_.mapInArrow(_records(length, end), "record binary").select(F.col("record").cast("string").alias("value")).write.text(f"{path}/{begin // slots:09d}")
+    index = all_tokens.select("doc_id", "n", "at").mapInArrow(_pieces(order, length, slots, with_ids=False), PIECE)
     docs_of = F.transform(F.array_sort(F.collect_list(F.struct("at", "doc_id"))), lambda x: x["doc_id"])  # at most `length` pieces
     return index.groupBy("slot", "shard").agg(F.sum("n").alias("n_tokens"), docs_of.alias("doc_ids")).withColumn("offset", F.col("slot") % slots * (2 * length + 1))
 
@@ -167,8 +179,8 @@ def sequences_from(spark: SparkSession, path: str, slot: int = 0, length: int =
     ship(spark)
     stride = 2 * length + 1
     schema = pa.schema([("slot", pa.int64()), ("ids", pa.binary())])
-    shard = F.regexp_extract("path", "part-([0-9]+)", 1).cast("long")
-    files = spark.read.format("binaryFile").load(path).where(shard >= slot // slots).select(shard.alias("shard"), "content")
+    shard = F.regexp_extract("path", "/([0-9]+)/part-([0-9]+)", 1).cast("long") + F.regexp_extract("path", "/([0-9]+)/part-([0-9]+)", 2).cast("long")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).where(shard >= slot // slots).select(shard.alias("shard"), "content")
 
     def run(batches):
         for batch in batches:
