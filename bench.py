@@ -11,6 +11,7 @@ import json
 import os
 import time
 
+from veil.functions.lineage import drop_scratch
 from veil.plans import QUERIES
 from veil.session import local_session
 
@@ -41,6 +42,7 @@ def main() -> None:
              "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}
         )
     )
+    drop_scratch(spark)
     spark.stop()
 
 

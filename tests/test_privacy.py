@@ -110,6 +110,8 @@ def test_laplace_without_epsilon_and_on_a_constant(spark):
     df = spark.range(50).withColumn("v", F.lit(3))
     same = DP.laplace_mechanism(df, ["v"], "id", None, "s").agg(F.min("v_dp"), F.max("v_dp")).first()
     assert tuple(same) == (3.0, 3.0)
+    with pytest.raises(ValueError):
+        DP.laplace_mechanism(df, ["v"], "id", 0.0, "s")
     noisy = DP.laplace_mechanism(df, ["v"], "id", 1.0, "s").agg(F.count_distinct("v_dp")).first()[0]
     assert noisy == 50
 
@@ -140,13 +142,12 @@ def test_unmapped_values_and_default(spark):
     assert [r[0] for r in C.unmapped_values(df, "n", lookup, "k").collect()] == ["b"]
 
 
-def test_one_hot_levels_and_limit(spark):
+def test_one_hot_levels(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "c string, i int")
-    out = C.one_hot(df, "c", "C", drop_first=True)
+    out = C.one_hot(df, "c", "C", ["a", "b"], drop_first=True)
     assert out.columns == ["i", "C_b"]
     assert [r["C_b"] for r in out.orderBy("i").collect()] == [0, 1, 0]
-    with pytest.raises(ValueError):
-        C.column_levels(df, "c", max_levels=1)
+    assert C.one_hot(df, "c", "C", ["a", "z"]).agg(F.sum("C_a"), F.sum("C_z")).first() == (1, 0)
 
 
 ROLES = Roles(key="id", identifiers=["pid", "id"], quasi=["g"], sensitive=["flag"], target="y", group="pid")
@@ -159,7 +160,12 @@ def test_gate_and_release_sink(spark, tmp_path):
     with pytest.raises(R.GateError):
         R.check_gate(df, ROLES, k=11)
     path = str(tmp_path / "release")
-    R.write_release(df, ROLES, path, ["g"])
+    with pytest.raises(R.GateError):
+        R.write_release(df, ROLES, path, k=11, partition_by=["g"])
+    R.write_release(df, ROLES, path, k=10, l=2, t=0.9, partition_by=["g"])
+    unknown = df.withColumn("y", F.when(F.col("g") == "a", F.col("y")))
+    with pytest.raises(R.GateError):
+        R.check_gate(unknown, ROLES, k=10, t=1.0)
     back = spark.read.parquet(path)
     assert set(back.columns) == {"g", "flag", "y"} and back.count() == 40
     R.write_results(df.groupBy("g").count(), str(tmp_path / "results"))

@@ -1,9 +1,8 @@
 """Running sums and ranks over sorted data without a single-task window.
 
-A window without partition keys, or with one hot key, sorts everything in one task. Here the order
-is cut into value ranges: the bounds come from an approximate quantile sketch (or from a hashed
-sample for strings), which only decides where to cut. Sums inside a range and the totals of the
-ranges before it add up to the exact result.
+A window without partition keys, or with one hot key, sorts everything in one task. Here the rows are
+partitioned by ranges of the order and written with the number of their range. Sums inside a range
+and the totals of the ranges before it add up to the exact result.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from pyspark.sql import functions as F
 from veil.functions.exprs import join_groups
 from veil.functions.lineage import materialize
 
-MAX_RANGES = 2000
 ROWS_PER_RANGE = 1_000_000
 
 
@@ -25,59 +23,33 @@ def default_ranges(df: DataFrame) -> int:
 
 
 def ranges_for(n_rows: int) -> int:
-    """Value ranges for a table of a known size; one range only when a task can surely sort it all."""
-    return max(1, min(MAX_RANGES, -(-n_rows // ROWS_PER_RANGE)))
-
-
-def _range_column(table: DataFrame, order: str, bound_by: Sequence[str], ranges: int) -> DataFrame:
-    """Adds `__range`: the number of bounds that are <= the order value."""
-    if dict(table.dtypes)[order] == "string":
-        sample = table.select(order).orderBy(F.xxhash64(order), order).limit(ranges - 1)
-        bounds = sample.agg(F.array_sort(F.collect_set(order)).alias("__bounds"))
-        bound_by = []
-    else:
-        cuts = [i / ranges for i in range(1, ranges)]
-        sketch = F.percentile_approx(order, cuts, 10000).alias("__bounds")
-        bounds = table.groupBy(*bound_by).agg(sketch) if bound_by else table.agg(sketch)
-    if bound_by:
-        table = join_groups(table, bounds, bound_by, "left")
-    else:
-        table = table.withColumn("__bounds", bounds.scalar())
-    position = F.size(F.filter("__bounds", lambda b: b <= F.col(order)))
-    return table.withColumn("__range", F.coalesce(position, F.lit(0))).drop("__bounds")
-
-
-def running_sums(
-    table: DataFrame,
-    order: str,
-    sums: Sequence[str],
-    by: Sequence[str] = (),
-    bound_by: Sequence[str] = (),
-    ranges: int | None = None,
-) -> DataFrame:
+    """Ranges for a table of a known size: as many as keep a range at what one task can surely sort."""
+    return max(1, -(-n_rows // ROWS_PER_RANGE))
+
+
+def running_sums(table: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Adds `cum_<c>` (inclusive running sum in `order`) and `total_<c>` for every `c` in `sums`.
 
     `table` holds one row per (`by`, `order`) value, that is, it is pre-aggregated: a value that a
-    third of all input rows share is still one row here. `bound_by` names the part of `by` that has
-    few values and its own value scale.
+    third of all input rows share is still one row here.
 
-    Without `ranges` the table is written to the shared folder first. That keeps its several uses
-    from scanning the source again, and its exact size decides how many ranges are needed. `ranges=1`
-    is for tables whose size per `by` has a known bound.
+    The table is written to the shared folder first. That keeps its several uses from scanning the
+    source again, and its exact size decides how many ranges are needed, unless `ranges` says so.
+    `ranges=1` is for tables whose size per `by` has a known bound; nothing is written then.
     """
     by = list(by)
-    if ranges is None:
+    if ranges != 1:
         table = materialize(table, "ordered")
-        ranges = ranges_for(table.count())
-    if ranges <= 1:
+        ranges = ranges or ranges_for(table.count())
+    if ranges == 1:
         group = f"PARTITION BY {', '.join(f'`{c}`' for c in by)}" if by else ""
         inside = f"OVER ({group} ORDER BY `{order}` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
         return table.selectExpr(
             "*", *[f"sum(`{c}`) {inside} AS `cum_{c}`" for c in sums], *[f"sum(`{c}`) OVER ({group}) AS `total_{c}`" for c in sums]
         )
-    cut = _range_column(table, order, list(bound_by), ranges)
+    cut = materialize(table.repartitionByRange(ranges, *by, order).withColumn("__range", F.spark_partition_id()), "ranges")
     keys = [*by, "__range"]
-    # one row per range: at most MAX_RANGES rows share a window here
+    # one row per group and range: a group spans neighbouring ranges only
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*by)
     offsets = (
@@ -91,13 +63,18 @@ def running_sums(
     )
     local = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     cut = cut.select(*table.columns, "__range", *[F.sum(c).over(local).alias(f"__l_{c}") for c in sums])
-    return join_groups(cut, offsets, keys).select(
+    return _with_offsets(cut, offsets, by).select(
         *table.columns,
         *[(F.col(f"__l_{c}") + F.col(f"__o_{c}")).alias(f"cum_{c}") for c in sums],
         *[f"total_{c}" for c in sums],
     )
 
 
+def _with_offsets(rows: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with the offsets of their group and range; without groups a plain join keeps the partitioning by range."""
+    return join_groups(rows, offsets, [*by, "__range"]) if by else rows.join(offsets, "__range")
+
+
 def quantiles_from_counts(
     counts: DataFrame, value: str, n: str, qs: dict[str, float], by: Sequence[str] = (), ranges: int | None = None,
     sums: Sequence[str] = (), extra: Sequence[Column] = (),
@@ -107,7 +84,7 @@ def quantiles_from_counts(
     `qs` maps output names to probabilities. `extra` are further aggregates over the same rows; they
     may use the totals of the columns in `sums`.
     """
-    ranked = running_sums(counts, value, [n, *sums], by, by, ranges)
+    ranked = running_sums(counts, value, [n, *sums], by, ranges)
     first, last = F.col(f"cum_{n}") - F.col(n), F.col(f"cum_{n}") - 1
     total = F.col(f"total_{n}")
 
@@ -139,10 +116,13 @@ def value_counts_long(df: DataFrame, columns: Sequence[str], cast: str = "double
 def ranked_by_uniform(df: DataFrame, u: str, tiebreak: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Adds `rank` (1-based) in the order of a uniform draw, exact for groups of any size.
 
-    Uniform draws need no sketch: equal-width ranges of (0, 1) hold equal shares.
+    Equal-width ranges of (0, 1) hold equal shares of the draws. Without `ranges` the rows are written
+    once, and their number decides.
     """
     by = list(by)
-    ranges = default_ranges(df) if ranges is None else ranges
+    if ranges is None:
+        df = materialize(df, "drawn")
+        ranges = ranges_for(df.count())
     cut = df.withColumn("__range", F.floor(F.col(u) * ranges).cast("int"))
     keys = [*by, "__range"]
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -154,7 +134,7 @@ def ranked_by_uniform(df: DataFrame, u: str, tiebreak: str, by: Sequence[str] =
     )
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(u, tiebreak))
     return (
-        join_groups(cut.withColumn("__local", local), offsets, keys)
+        _with_offsets(cut.withColumn("__local", local), offsets, by)
         .withColumn("rank", F.col("__local") + F.col("__before"))
         .drop("__local", "__before", "__range")
     )
@@ -214,7 +194,7 @@ def bracketed_quantiles(
         widest = max(s["n"] for s in sketches.values())
         ranges = ranges_for(8 * widest // SKETCH_ACCURACY + 2)
     by = ["column_name", "quantile"]
-    ranked = running_sums(counts, "value", ["n"], by, by, ranges)
+    ranked = running_sums(counts, "value", ["n"], by, ranges)
     targets = df.sparkSession.createDataFrame(plan, "c string, q string, lo bigint, hi bigint, frac double")
     joined = ranked.join(targets, (F.col("column_name") == F.col("c")) & (F.col("quantile") == F.col("q")))
 

@@ -143,24 +143,14 @@ def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.join(index, F.col(column) == F.col("__level"), "left").drop("__level")
 
 
-def column_levels(df: DataFrame, column: str, max_levels: int = 10_000) -> list:
-    """Sorted distinct non-null values of a low-cardinality column.
+def one_hot(df: DataFrame, column: str, prefix: str, levels: Sequence, drop_first: bool = False) -> DataFrame:
+    """The column replaced by one 0/1 column `<prefix>_<level>` per level, optionally without the first.
 
-    One column per level is only sensible for few levels, so more than `max_levels` is an error:
-    the vector encoders in `operators.models` take such columns.
+    The levels are part of the table's declared schema, so they are given and not searched in the
+    rows; other values and nulls have 0 everywhere. Open-ended columns belong in the vector encoders
+    of `operators.models`.
     """
-    rows = df.where(F.col(column).isNotNull()).select(column).distinct().limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"{column} has more than {max_levels} levels; use a vector encoder")
-    return sorted(r[0] for r in rows)
-
-
-def one_hot(
-    df: DataFrame, column: str, prefix: str, levels: Sequence | None = None, drop_first: bool = False
-) -> DataFrame:
-    """The column replaced by one 0/1 column `<prefix>_<level>` per level, optionally without the first."""
-    levels = list(levels) if levels is not None else column_levels(df, column)
-    used = levels[1:] if drop_first else levels
+    used = list(levels)[1:] if drop_first else list(levels)
     flags = [F.coalesce((F.col(column) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{prefix}_{v}") for v in used]
     return df.select(*[c for c in df.columns if c != column], *flags)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions.exprs import ratio
-from veil.functions.ordered import default_ranges
+from veil.functions.lineage import materialize
 from veil.functions.rand import laplace_noise, salt, uniform
 from veil.operators.profile import histogram
 
@@ -113,10 +113,10 @@ def simulate_estimates(df: DataFrame, column: str, key: str, p: float, q: float,
     """Replicated response and estimation: (rep, noisy_rate, estimate, variance, normal_density).
 
     Rows are multiplied inside the map stage and summed there, so what is shuffled afterwards is one
-    row per replicate and task. Each row costs `replicates` draws, so the two narrow columns are
-    first spread evenly by row key. The density is that of the normal limit around the mean estimate.
+    row per replicate and task. The estimates, one row a replicate, are written before their mean is
+    taken. The density is that of the normal limit around the mean estimate.
     """
-    rows = df.where(F.col(column).isNotNull()).select(key, column).repartition(default_ranges(df), key)
+    rows = df.where(F.col(column).isNotNull()).select(key, column)
     reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     first = uniform(f"{seed}|{column}|first", "rep", key) < F.lit(p)
     noise = F.when(uniform(f"{seed}|{column}|second", "rep", key) < F.lit(q), 0).otherwise(1)
@@ -125,6 +125,7 @@ def simulate_estimates(df: DataFrame, column: str, key: str, p: float, q: float,
     estimates = rates.select(
         "rep", F.col("r"), estimate_rate(F.col("r"), p, q).alias("e"), estimate_variance(F.col("r"), F.col("n"), p).alias("v")
     )
+    estimates = materialize(estimates, "estimates")
     centre = estimates.agg(F.avg("e").alias("m"))
     spread = F.lit(1.0) / F.sqrt(F.lit(2 * pi) * F.col("v"))
     density = spread * F.exp(-F.pow(F.col("e") - F.col("m"), F.lit(2.0)) / (2 * F.col("v")))
@@ -160,10 +161,12 @@ def laplace_mechanism(
 
     With `bounds` the value is clipped to them and the sensitivity is their distance. Without, the
     sensitivity is max - min of the data (1 when that is 0), which reproduces the usual exercise but
-    depends on the data itself and is therefore no strict guarantee. A missing or non-positive
-    epsilon adds no noise.
+    depends on the data itself and is therefore no strict guarantee. Without an epsilon no noise is
+    added; one that is not positive is an error.
     """
-    if epsilon is None or epsilon <= 0:
+    if epsilon is not None and not epsilon > 0:
+        raise ValueError("epsilon must be positive")
+    if epsilon is None:
         return df.select("*", *[F.col(c).cast("double").alias(f"{c}{suffix}") for c in columns])
     bounds = bounds or {}
     free = [c for c in columns if c not in bounds]
@@ -191,8 +194,22 @@ def compare_means(df: DataFrame, column: str, noisy: str) -> DataFrame:
     return df.agg(F.round(F.avg(column), 4).alias("true_mean"), F.round(F.avg(noisy), 4).alias("private_mean"))
 
 
-def private_histogram(df: DataFrame, column: str, bins: int, epsilon: float, seed: str) -> DataFrame:
-    """Histogram whose counts carry Laplace noise of scale 1/epsilon, drawn once per bin."""
-    bars = histogram(df, column, bins)
+def private_histogram(df: DataFrame, column: str, bins: int, epsilon: float, seed: str, bounds: tuple[float, float] | None = None) -> DataFrame:
+    """Histogram whose counts carry Laplace noise of scale 1/epsilon, drawn once per bin.
+
+    With `bounds` values are clipped to them and they are the outer edges. Without, the edges are the
+    exact minimum and maximum of the data, which the noise does not protect.
+    """
+    if not epsilon > 0:
+        raise ValueError("epsilon must be positive")
+    if bounds is None:
+        bars = histogram(df, column, bins)
+    else:
+        lo, hi = (float(b) for b in bounds)
+        x = F.greatest(F.lit(lo), F.least(F.lit(hi), F.col(column).cast("double")))
+        place = F.least(F.floor((x - lo) / ((hi - lo) / bins)), F.lit(bins - 1)).cast("int")
+        counted = df.where(F.col(column).isNotNull()).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+        bars = every.join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
     noise = laplace_noise(uniform(salt(seed, column, 0), "bin"), 1.0 / epsilon)
     return bars.select("bin", "n", F.round(F.col("n") + noise, 6).alias("private_n"))

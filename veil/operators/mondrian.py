@@ -103,7 +103,7 @@ def measure_splits(cells: DataFrame, n_features: int, is_cat: str, ranges: int)
     weighed = values.selectExpr(
         "part_id", "j", "x", "if(x IS NULL, 0L, n) AS n", "if(x IS NULL, 0, 1) AS one", "if(x IS NULL, n, 0L) AS missing"
     )
-    ranked = running_sums(weighed, "x", ["n", "one", "missing"], ["part_id", "j"], ["j"], ranges)
+    ranked = running_sums(weighed, "x", ["n", "one", "missing"], ["part_id", "j"], ranges)
     # value rows cover the ranks from cum_n - n to cum_n - 1; the median lies between two ranks
     low, high = ("{0}((total_n - 1) / 2) BETWEEN cum_n - n AND cum_n - 1".format(f) for f in ("floor", "ceil"))
     half = "cum_one = floor(total_one / 2)"
@@ -209,6 +209,7 @@ def partition(
         if uses_sensitive:
             valid = _sensitive_rules(active, materialize(valid, "splits"), width, sensitive, rule, levels)
         chosen = choose_splits(valid.join(scale, "j", "left").withColumn("rel_span", relative_span()))
+        chosen = materialize(chosen, "chosen")  # one row a partition; its size is known to the join
         x = "CASE j " + " ".join(f"WHEN {j} THEN `__x{j}`" for j in range(width)) + " END"
         moved = active.withColumnRenamed("part_id", "parent").join(chosen.withColumnRenamed("part_id", "parent"), "parent", "left")
         moved = moved.selectExpr(
@@ -312,7 +313,7 @@ def partition_bounds(p: Partitioning) -> DataFrame:
     boxes = long.groupBy("part_id", "j").agg(F.min("x").alias("left"), F.max("x").alias("max"))
     # the next larger value is the one at the next rank among the distinct values of the feature
     values = long.groupBy("j", "x").agg(F.lit(1).alias("one"))
-    ranked = materialize(running_sums(values, "x", ["one"], ["j"], ["j"]).select("j", "x", F.col("cum_one").alias("r")), "values")
+    ranked = materialize(running_sums(values, "x", ["one"], ["j"]).select("j", "x", F.col("cum_one").alias("r")), "values")
     following = ranked.select("j", (F.col("r") - 1).alias("r"), F.col("x").alias("next"))
     successors = ranked.join(following, ["j", "r"], "left").select("j", F.col("x").alias("max"), "next")
     right = F.when(F.expr(is_cat), F.col("max") + 1).otherwise(F.coalesce("next", "max"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions.exprs import join_groups, ratio
+from veil.functions.lineage import materialize
 from veil.functions.ordered import quantiles_from_counts
 from veil.operators.profile import histogram
 
@@ -77,8 +78,8 @@ def compare_stages(stages: dict[str, DataFrame], k: int = 5) -> DataFrame:
 def record_risk(df: DataFrame, quasi: Sequence[str], k: int = 5) -> DataFrame:
     """Every record with the size of its class, its risk 1/size and whether the class is below k.
 
-    Class sizes are aggregated first and joined back, which AQE turns into a broadcast when there
-    are few classes. A window over a class would put the largest class into one task.
+    Class sizes are written first, so the join back knows their size and moves no row when there are
+    few classes. A window over a class would put the largest class into one task.
     """
-    joined = join_groups(df, class_sizes(df, quasi), quasi)
+    joined = join_groups(df, materialize(class_sizes(df, quasi), "sizes"), quasi)
     return joined.withColumn("risk", F.round(ratio(F.lit(1), F.col("k")), 6)).withColumn("at_risk", F.col("k") < k)

@@ -302,6 +302,7 @@ def e21(spark, sf):
     return C.label_encode(rows, "neighbourhood", "neighbourhood_code")
 
 
+# fixed values: days of the week and the declared regions
 DOW = list(range(7))
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
@@ -314,7 +315,7 @@ REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 )
 def e22(spark, sf):
     rows = V.clean_appointments(spark, sf).select("appointment_id", "region", "appt_dow")
-    return C.one_hot(C.one_hot(rows, "region", "Region"), "appt_dow", "ApptDOW", DOW, drop_first=True)
+    return C.one_hot(C.one_hot(rows, "region", "Region", REGIONS), "appt_dow", "ApptDOW", DOW, drop_first=True)
 
 
 @query(

@@ -259,15 +259,17 @@ def s3(spark, sf):
     return read_csv(spark, path, strings=["patient_id"])
 
 
+GATE_T = 0.6  # small test tables have small classes, whose rates differ much from the whole
+
+
 @query(
     "s5_release_sink",
     f"WITH {RELEASE} SELECT age_group, gender, region, CAST(lead_days AS INT) AS lead_days, appt_dow, appt_month, sched_dow, sms_received, {', '.join(SENSITIVE)}, noshow FROM rel",
 )
 def s5(spark, sf):
     released, perturbed = R.staged_release(V.clean_appointments(spark, sf), ROLES, SEED)
-    R.check_gate(perturbed, ROLES, k=2)
     path = scratch_path(spark, "release")
-    R.write_release(released, ROLES, path, ["region"])
+    R.write_release(released, ROLES, path, k=2, l=2, t=GATE_T, verified=perturbed, partition_by=["region"])
     return spark.read.parquet(path)
 
 

@@ -10,7 +10,7 @@ from veil.plans.registry import ADULT, HEALTH, query
 from veil.sources import views as V
 
 FEATURES = ["age", "hours_per_week"]
-DEPTH = 12  # levels written out in the SQL; partitions are final well before
+DEPTH = 32  # levels written out in the SQL; the queries have no limit, so a difference shows if these were too few
 
 
 def partition_sql(source: str, key: str, numeric: list[str], categorical: list[str], order: list[str], k: int, depth: int,
@@ -83,7 +83,7 @@ HEALTH_PART = (
 
 
 def adult_partitioning(spark, sf):
-    return M.partition(adult(spark, sf), FEATURES, M.Validity(KA), "income", max_depth=DEPTH)
+    return M.partition(adult(spark, sf), FEATURES, M.Validity(KA), "income")
 
 
 def health_partitioning(spark, sf):
@@ -179,25 +179,28 @@ def m6(spark, sf):
     )
 
 
-@query("m6_partition_k3")
+ADULT_PART_3 = f"{ADULT}, {partition_sql('adult', 'person_id', FEATURES, [], FEATURES, 3, DEPTH)}"
+
+
+@query("m6_partition_k3", f"WITH {ADULT_PART_3} SELECT pid AS part_id, count(*) AS n FROM part GROUP BY 1")
 def m6b(spark, sf):
     p = M.partition(adult(spark, sf), FEATURES, M.Validity(3))
     return p.cells.groupBy("part_id").agg(F.sum("n").alias("n"))
 
 
-ADULT_PART_L = f"{ADULT}, {partition_sql('adult', 'person_id', FEATURES, [], FEATURES, 30, 8, 'income', l=2)}"
-ADULT_PART_T = f"{ADULT}, {partition_sql('adult', 'person_id', FEATURES, [], FEATURES, 30, 5, 'income', t=0.05)}"
+ADULT_PART_L = f"{ADULT}, {partition_sql('adult', 'person_id', FEATURES, [], FEATURES, 30, DEPTH, 'income', l=2)}"
+ADULT_PART_T = f"{ADULT}, {partition_sql('adult', 'person_id', FEATURES, [], FEATURES, 30, DEPTH, 'income', t=0.05)}"
 
 
 @query("m6_partition_kl", f"WITH {ADULT_PART_L} SELECT pid AS part_id, count(*) AS n FROM part GROUP BY 1")
 def m6c(spark, sf):
-    p = M.partition(adult(spark, sf), FEATURES, M.Validity(30, l=2), "income", max_depth=8)
+    p = M.partition(adult(spark, sf), FEATURES, M.Validity(30, l=2), "income")
     return p.cells.groupBy("part_id").agg(F.sum("n").alias("n"))
 
 
 @query("m6_partition_kt", f"WITH {ADULT_PART_T} SELECT pid AS part_id, count(*) AS n FROM part GROUP BY 1")
 def m6d(spark, sf):
-    p = M.partition(adult(spark, sf), FEATURES, M.Validity(30, t=0.05), "income", max_depth=5)
+    p = M.partition(adult(spark, sf), FEATURES, M.Validity(30, t=0.05), "income")
     return p.cells.groupBy("part_id").agg(F.sum("n").alias("n"))
 
 
@@ -207,12 +210,12 @@ def m7(spark, sf):
     return p.cells.groupBy("part_id").agg(F.sum("n").alias("n"))
 
 
-ADULT_PART_LT = f"{ADULT}, {partition_sql('adult', 'person_id', FEATURES, [], FEATURES, 50, 6, 'income', l=2, t=0.2)}"
+ADULT_PART_LT = f"{ADULT}, {partition_sql('adult', 'person_id', FEATURES, [], FEATURES, 50, DEPTH, 'income', l=2, t=0.2)}"
 
 
 @query("m8_composed_rules", f"WITH {ADULT_PART_LT} SELECT pid AS part_id, count(*) AS n FROM part GROUP BY 1")
 def m8(spark, sf):
-    p = M.partition(adult(spark, sf), FEATURES, M.Validity(50, l=2, t=0.2), "income", max_depth=6)
+    p = M.partition(adult(spark, sf), FEATURES, M.Validity(50, l=2, t=0.2), "income")
     return p.cells.groupBy("part_id").agg(F.sum("n").alias("n"))
 
 
@@ -272,7 +275,7 @@ def m12(spark, sf):
 def _compare_sql() -> str:
     parts = []
     for name, options in {"k": {}, "k+l": {"l": 2}, "k+t": {"t": 0.2}}.items():
-        chain = partition_sql("adult", "person_id", FEATURES, [], FEATURES, 30, 6, "income", **options)
+        chain = partition_sql("adult", "person_id", FEATURES, [], FEATURES, 30, DEPTH, "income", **options)
         parts.append(
             f"SELECT '{name}' AS rule, * FROM (WITH {ADULT}, {chain}, z AS (SELECT pid, count(*) AS n FROM part GROUP BY 1)"
             " SELECT count(*) AS n_partitions, min(n) AS min_size, round(avg(n), 6) AS mean_size, CAST(sum(n) AS BIGINT) AS n_rows FROM z)"
@@ -283,7 +286,7 @@ def _compare_sql() -> str:
 @query("m13_compare_rules", _compare_sql())
 def m13(spark, sf):
     rules = {"k": M.Validity(30), "k+l": M.Validity(30, l=2), "k+t": M.Validity(30, t=0.2)}
-    return M.compare_rules(adult(spark, sf), FEATURES, "income", rules, max_depth=6)
+    return M.compare_rules(adult(spark, sf), FEATURES, "income", rules)
 
 
 @query(

@@ -59,11 +59,11 @@ def f1(spark, sf):
 
 @query(
     "f2_duplicate_rows",
-    f"""WITH {CLEAN}, g AS (SELECT count(*) AS n FROM clean GROUP BY gender, age, neighbourhood, noshow)
+    f"""WITH {CLEAN}, g AS (SELECT *, count(*) AS n FROM clean GROUP BY ALL)
     SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n - 1) AS BIGINT) AS n_duplicates FROM g""",
 )
 def f2(spark, sf):
-    return P.duplicate_count(V.clean_appointments(spark, sf), ["gender", "age", "neighbourhood", "noshow"])
+    return P.duplicate_count(V.clean_appointments(spark, sf))
 
 
 def numeric_summary_sql(source: str, cols: list[str]) -> str:
