@@ -243,7 +243,7 @@ def p10(spark, sf):
     return DP.estimate_groups(responded(spark, sf), "hypertension_dp", [], P0, Q0)
 
 
-REPS = 20
+REPS = 500
 
 
 def _rep_u(which: str) -> str:
