@@ -19,7 +19,7 @@ HEADLINE = [
     "f1_missing_table", "f3_numeric_summary", "f6_value_frequencies", "c1_correlation_matrix", "c3_age_gender_pivot",
     "k1_class_sizes_raw", "k2_risk_profile", "k5_before_after", "k6_record_risk", "l1_class_diversity", "t2_frequency_distance",
     "t5_scorecard", "l7_enforce_diversity", "p6_respond_all", "p9_estimate_by_region", "p14_laplace_mechanism", "p11_simulated_estimates",
-    "p19_staged_release", "m7_partition_bounded", "m10_micro_aggregation", "v3_folds_exact", "v11_choose_threshold", "v15_roc_auc",
+    "p19_staged_release", "m6_partition_k", "m6_partition_kl", "m7_partition_bounded", "m10_micro_aggregation", "s5_release_sink", "p18_combined_protection", "v3_folds_exact", "v11_choose_threshold", "v15_roc_auc",
     "v16_average_precision", "v19_calibration_curve",
 ]
 
