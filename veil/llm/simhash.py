@@ -30,6 +30,8 @@ WORDS, SEED, RADIUS = 4, 42, 4
 #: Variants that one bundle may hold before its prefix is refined, and by how many bits.
 BUNDLE, STEP = 1 << 20, 6
 BLOCK = 1 << 17
+#: Ids (8 bytes each) that one broadcast may hold.
+BROADCAST_IDS = 1 << 21
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -154,13 +156,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay: of each component the one with the least id, and of rows that repeat id and text one.
 
-    Documents without an id cannot be told apart and all stay. Only ids are shuffled, not texts, as long as those that
-    go are few enough for Spark to broadcast.
+    Documents without an id cannot be told apart and all stay. Ids of documents that go are broadcast up to
+    BROADCAST_IDS of them, so that texts are not shuffled; beyond that the join shuffles.
     """
     named = docs.where(F.col(doc_id).isNotNull())
     ids = stored(near_duplicates(named, doc_id, text).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "classes")
     gone = ids.where("doc_id <> component_id OR n > 1").select(F.col("doc_id").alias("__id"))
     repeated = stored(ids.where("doc_id = component_id AND n > 1").select(F.col("doc_id").alias("__id")), "repeated")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     kept = docs.join(gone, docs[doc_id] == F.col("__id"), "left_anti")
     if repeated.isEmpty():
         return kept
