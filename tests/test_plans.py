@@ -4,7 +4,10 @@ import re
 
 import pytest
 
+from veil.operators import perturb
 from veil.plans import QUERIES
+from veil.plans.risk_queries import QUASI, SENSITIVE
+from veil.sources import views as V
 
 PLAIN = ["k5_before_after", "l1_class_diversity", "l7_enforce_diversity", "p6_respond_all", "p14_laplace_mechanism", "p19_staged_release",
          "t2_frequency_distance", "v15_roc_auc", "f3_numeric_summary", "m7_partition_bounded"]
@@ -33,4 +36,6 @@ def test_response_is_a_narrow_stage(spark, sf_dir):
 
 
 def test_flips_are_limited_before_the_shuffle(spark, sf_dir):
-    assert "WindowGroupLimit" in plan(QUERIES["l7_enforce_diversity"](spark, sf_dir))
+    rows = V.clean_appointments(spark, sf_dir)
+    marks, _ = perturb.failing_classes(rows, QUASI, SENSITIVE)
+    assert "WindowGroupLimit" in plan(perturb.flip_picks(rows, "appointment_id", QUASI, SENSITIVE, "seed", marks))
