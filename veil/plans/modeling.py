@@ -171,16 +171,19 @@ def health_rows(spark, sf):
     return S.stratified_split(rows, "has_diabetes", "admission_id", 0.25, SEED)
 
 
-def protect_health(df, epsilon, p, q, k, max_depth=8):
+def protect_health(df, epsilon, p, q, k, max_depth=None):
     return R.protect(df, "admission_id", ["age", "hours_hospitalized", "severity"], ["released_sameday"], ["age", "hospital", "marital_status"],
                      epsilon, p, q, k, SEED, max_depth)
 
 
+SWEEP_K = [2, 3, 5, 8, 10]  # splitting ends at k: a fixed depth would end it at the same partitions for all of them
+
+
 @query("v28_isolated_sweeps")
 def v28(spark, sf):
     rows = materialize(health_rows(spark, sf), "health")
     specs = [ML.logistic(max_iter=20, weight=None), ML.random_forest(trees=4, depth=4, weight=None)]
-    return W.isolated_sweeps(rows, protect_health, HEALTH_NUM, HEALTH_CAT, "has_diabetes", "admission_id", specs, [0.5, 2.0], [0.3], [50], max_depth=4)
+    return W.isolated_sweeps(rows, protect_health, HEALTH_NUM, HEALTH_CAT, "has_diabetes", "admission_id", specs, [0.5, 2.0], [0.3], SWEEP_K, max_depth=None)
 
 
 @query("v29_unprotected_baseline")
@@ -192,7 +195,7 @@ def v29(spark, sf):
 
 @query("p18_combined_protection")
 def p18(spark, sf):
-    return protect_health(health_rows(spark, sf), 1.0, 0.3, 0.5, 100, 5)
+    return protect_health(health_rows(spark, sf), 1.0, 0.3, 0.5, 100)
 
 
 _UTIL = ["lead_days", "appt_dow", "appt_month", "sched_dow", "sms_received"]
