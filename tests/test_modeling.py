@@ -27,3 +27,17 @@ def test_v28_passes_no_depth(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(modeling.W, "isolated_sweeps", lambda *a, **b: seen.update(args=a, **b))
     QUERIES["v28_isolated_sweeps"](spark, sf_dir)
     assert seen["max_depth"] is None and modeling.SWEEP_K in seen["args"]
+
+
+def test_registered_sizes_are_those_of_the_study(spark, sf_dir, monkeypatch):
+    forest, boosting = modeling.FOREST.build(1.0), modeling.BOOSTING.build(1.0)
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (400, 16)
+    assert (boosting.getMaxIter(), boosting.getMaxDepth(), boosting.getStepSize()) == (400, 8, 0.05)
+    assert len(modeling.SWEEP_GRID) == 16 and modeling.SWEEP_TRIALS == 10 and modeling.SHAPLEY_ROWS >= 800
+    assert len(modeling.SWEEP_EPSILON) == len(modeling.SWEEP_P) == len(modeling.SWEEP_K) == 5
+    seen = {}
+    monkeypatch.setattr(modeling.W, "response_model_sweep", lambda *a, **b: seen.update(args=a))
+    QUERIES["v27_response_model_sweep"](spark, sf_dir)
+    spec, grid, trials = seen["args"][6:9]
+    trees = spec.build(1.0)
+    assert (trees.getNumTrees(), trees.getMaxDepth(), len(grid), trials) == (100, 10, 16, 10)
