@@ -27,6 +27,7 @@ def test_v28_passes_no_depth(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(modeling.W, "isolated_sweeps", lambda *a, **b: seen.update(args=a, **b))
     QUERIES["v28_isolated_sweeps"](spark, sf_dir)
     assert seen["max_depth"] is None and modeling.SWEEP_K in seen["args"]
+    assert [s.name for s in seen["args"][6]] == ["logistic", "random_forest", "boosting"]
 
 
 def test_registered_sizes_are_those_of_the_study(spark, sf_dir, monkeypatch):
@@ -41,3 +42,22 @@ def test_registered_sizes_are_those_of_the_study(spark, sf_dir, monkeypatch):
     spec, grid, trials = seen["args"][6:9]
     trees = spec.build(1.0)
     assert (trees.getNumTrees(), trees.getMaxDepth(), len(grid), trials) == (100, 10, 16, 10)
+
+
+def test_all_models_on_both_datasets(spark, sf_dir, monkeypatch):
+    """Small stand-ins of the three specs keep their names; what the queries loop over is checked."""
+    assert [s.name for s in modeling.MODELS] == ["logistic", "random_forest", "boosting"]
+    monkeypatch.setattr(modeling, "MODELS", (modeling.ML.logistic(5), modeling.ML.random_forest(2, 2), modeling.ML.boosting(1, 2)))
+    monkeypatch.setattr(modeling.ML, "out_of_fold", lambda spec, df, key, folds, inner: df.limit(5).select(key, "label"))
+    monkeypatch.setattr(
+        modeling.ML, "train_and_evaluate",
+        lambda rows, spec, key, group, name, folds, inner: modeling.M.evaluate(
+            modeling.ML.score(modeling.ML.fit(spec, rows), rows).select("label", "score"), 0.5
+        ).select(F.lit(name).alias("dataset"), F.lit(spec.name).alias("model"), "metric", "value"),
+    )
+    every = {(d, m.name) for d in ("anonymized", "non_anonymized") for m in modeling.MODELS}
+    for name in ("v10_out_of_fold", "v10_train_and_evaluate", "v24_feature_importance"):
+        rows = QUERIES[name](spark, sf_dir).collect()
+        assert {(r["dataset"], r["model"]) for r in rows} == every, name
+        if name == "v10_train_and_evaluate":
+            assert len({(r["dataset"], r["best_model"]) for r in rows}) == 2 and all(r["loss_points_roc_auc"] is not None for r in rows)

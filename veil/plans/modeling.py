@@ -6,6 +6,9 @@ trials, rows of attribution and permutations are the study's too. The README giv
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions.exprs import map_values
@@ -60,6 +63,11 @@ def anonymized(spark, sf):
 LOGISTIC = ML.logistic(max_iter=500)
 FOREST = ML.random_forest()
 BOOSTING = ML.boosting()
+MODELS = (LOGISTIC, FOREST, BOOSTING)
+
+
+def datasets(spark, sf):
+    return {"anonymized": anonymized(spark, sf), "non_anonymized": baseline(spark, sf)}
 
 
 def holdout(prepared):
@@ -91,27 +99,43 @@ def v9(spark, sf):
 
 @query("v10_out_of_fold")
 def v10(spark, sf):
-    train, _ = holdout(baseline(spark, sf))
-    return ML.out_of_fold(LOGISTIC, train, KEY, folds=5, inner=3)
+    parts = [
+        ML.out_of_fold(spec, holdout(prep)[0], KEY, folds=5, inner=3).select(F.lit(name).alias("dataset"), F.lit(spec.name).alias("model"), "*")
+        for name, prep in datasets(spark, sf).items() for spec in MODELS
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
-@query("v10_train_and_evaluate")
-def v10b(spark, sf):
+MEASURES = ["threshold", "accuracy", "recall", "precision", "specificity", "roc_auc", "pr_auc", "f2", "brier_score", "flagged_pct"]
+LOSSES = ["accuracy", "recall", "f2", "roc_auc"]
+
+
+def trained_metrics(spark, sf):
+    """(dataset, model, metric, value) of all models trained on both datasets, written once."""
     parts = [
-        ML.train_and_evaluate(prep.rows, LOGISTIC, KEY, GROUP, name, folds=5, inner=3)
-        for name, prep in (("anonymized", anonymized(spark, sf)), ("non_anonymized", baseline(spark, sf)))
+        ML.train_and_evaluate(prep.rows, spec, KEY, GROUP, name, folds=5, inner=3) for name, prep in datasets(spark, sf).items() for spec in MODELS
     ]
-    return M.comparison_table(parts[0].unionByName(parts[1]), ["threshold", "accuracy", "recall", "precision", "specificity", "roc_auc",
-                                                               "pr_auc", "f2", "brier_score", "flagged_pct"])
+    return materialize(reduce(DataFrame.unionByName, parts), "metrics")
+
+
+@query("v10_train_and_evaluate")
+def v10b(spark, sf):
+    """Comparison (V22), utility loss of each model (V23) and the best model of each dataset (V30), all from trained models."""
+    metrics = trained_metrics(spark, sf)
+    losses = M.utility_loss(metrics, "anonymized", "non_anonymized").where(F.col("metric").isin(LOSSES))
+    cells = [F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{c}_{m}") for m in LOSSES for c in ("loss_points", "loss_pct")]
+    best = M.best_model(metrics).select("dataset", F.col("model").alias("best_model"))
+    table = M.comparison_table(metrics, MEASURES).join(losses.groupBy("model").agg(*cells), "model").join(best, "dataset")
+    return table.select("dataset", "model", *MEASURES, *[f"{c}_{m}" for m in LOSSES for c in ("loss_points", "loss_pct")], "best_model")
 
 
 @query("v24_feature_importance")
 def v24(spark, sf):
     models, names = {}, {}
-    for dataset, prep in (("anonymized", anonymized(spark, sf)), ("non_anonymized", baseline(spark, sf))):
+    for dataset, prep in datasets(spark, sf).items():
         train, _ = holdout(prep)
         names[dataset] = prep.names
-        for spec in (LOGISTIC, FOREST):
+        for spec in MODELS:
             models[dataset, spec.name] = ML.fit(spec, train)
     return ML.importance_table(spark, models, names, 10)
 
@@ -189,7 +213,8 @@ SWEEP_K = [2, 3, 5, 8, 10]  # splitting ends at k: a fixed depth would end it at
 def v28(spark, sf):
     rows = materialize(health_rows(spark, sf), "health")
     # the study's trees have no depth limit; 30 is the most that Spark takes
-    specs = [ML.logistic(weight=None), ML.random_forest(trees=250, depth=30, min_leaf=1, weight=None)]
+    specs = [ML.logistic(weight=None), ML.random_forest(trees=250, depth=30, min_leaf=1, weight=None),
+             ML.boosting(rounds=100, depth=3, rate=0.1, subsample=1.0, feature_share=1.0, min_leaf=1, weight=None)]
     return W.isolated_sweeps(rows, protect_health, HEALTH_NUM, HEALTH_CAT, "has_diabetes", "admission_id", specs, SWEEP_EPSILON, SWEEP_P, SWEEP_K, max_depth=None)
 
 
