@@ -3,7 +3,7 @@
 Each stage takes the documents that the stage before kept, written and read again, and returns those that it keeps
 with the columns of `documents`; the last one returns the index of the shards it writes.
 
-- `language_id` learns its profiles from the labelled documents it is given and drops texts without letters.
+- `language_id` learns its profiles from the labelled documents it is given and drops texts that share no n-gram with them, as those without letters do.
 - `near_duplicates` keeps, of each class of linked documents, the one with the least id.
 - `decontamination` drops documents with words inside an occurrence of a benchmark window.
 - `mixing` repeats or leaves out documents so that the sources meet their targets; a document taken twice is two rows.

@@ -69,3 +69,10 @@ def test_awkward_rows(spark, awkward):
     empty = langid.learn(awkward.limit(0))
     assert {r.pred for r in langid.identify(awkward, empty, lang="pred", score="how_sure").collect()} == {"und"}
     assert langid.identify(awkward.limit(0), profiles, lang="pred", score="how_sure").count() == 0
+
+
+def test_a_text_that_shares_no_ngram_is_not_accepted(documents):
+    docs = documents([(i, "the quick brown fox jumps over a lazy dog", "en", "s") for i in range(5)])
+    profiles = langid.learn(docs)
+    more = documents([(10, "漢字仮名", None, "s"), (11, "the dog", None, "s")])
+    assert [r.doc_id for r in langid.accepted(more, profiles).collect()] == [11]

@@ -137,7 +137,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame, profiles: Profiles, languages: Iterable[str] | None = None, least: float = 0.0, text: str = "text") -> DataFrame:
-    """The documents whose predicted language is one of `languages` (default: any learned one) with at least that score."""
+    """The documents whose predicted language is one of `languages` (default: any learned one) with at least that score.
+
+    A text that shares no n-gram with any profile has score 0 and no nearest language, so it is not accepted."""
     languages = list(profiles.languages if languages is None else languages)
     named = identify(docs, profiles, text, "__lang_pred", "__score")
-    return named.where(F.col("__lang_pred").isin(languages) & (F.col("__score") >= least)).drop("__lang_pred", "__score")
+    return named.where(F.col("__lang_pred").isin(languages) & (F.col("__score") >= least) & (F.col("__score") > 0)).drop("__lang_pred", "__score")
