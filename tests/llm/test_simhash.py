@@ -94,3 +94,12 @@ def test_query_over_the_tables_equals_brute_force(spark, sf_dir):
     values = [plain_fingerprint(d.text) for d in docs]
     assert [r.fingerprint for r in rows] == [f"{v:016x}" for v in values]
     assert [r.component_id for r in rows] == [docs[i].doc_id for i in roots(values, 4)]
+
+
+def test_repeated_ids_with_other_texts_keep_one_row_of_each_component(documents):
+    a, b = "one two three four five six seven", "a wholly unrelated text about the weather of tomorrow"
+    lost = documents([(3, a), (5, a), (5, b)])
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(lost).collect()) == [(3, a), (5, b)]
+    # one fingerprint, two texts: upper case is folded
+    both = documents([(4, a), (4, a.upper()), (9, b)])
+    assert sorted(r.doc_id for r in simhash.keep_one(both).collect()) == [4, 9]

@@ -154,21 +154,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay: of each component the one with the least id, and of rows that repeat id and text one.
+    """The documents that stay: of each component one row, of the least id.
 
-    Documents without an id cannot be told apart and all stay. Ids of documents that go are broadcast up to
-    BROADCAST_IDS of them, so that texts are not shuffled; beyond that the join shuffles.
+    Components hold fingerprints, so rows that repeat an id with other texts are told apart. Documents without an id
+    all stay. Ids of documents that go are broadcast up to BROADCAST_IDS of them, so that texts are not shuffled;
+    beyond that the join shuffles.
     """
     named = docs.where(F.col(doc_id).isNotNull())
-    ids = stored(near_duplicates(named, doc_id, text).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "classes")
-    gone = ids.where("doc_id <> component_id OR n > 1").select(F.col("doc_id").alias("__id"))
-    repeated = stored(ids.where("doc_id = component_id AND n > 1").select(F.col("doc_id").alias("__id")), "repeated")
+    prints = stored(fingerprints(named.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", WORDS, "fp").select("doc_id", "fp"), "prints")
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    found = components(stored(links(nodes.select("fp")), "links"), nodes.select(F.col("fp").alias("node"), F.col("fp").alias("least")))
+    groups = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("__group"))
+    leaders = groups.groupBy("__group").agg(F.min("least").alias("__leader"))
+    groups = stored(groups.join(leaders, "__group").select(F.col("fp").alias("__fp"), "__group", "__leader"), "groups")
+    leads = F.max(F.col("doc_id") == F.col("__leader")).alias("leads")
+    ids = stored(prints.join(groups, F.col("fp") == F.col("__fp")).groupBy("doc_id").agg(leads, F.count(F.lit(1)).alias("n")), "classes")
+    gone = ids.where("NOT leads OR n > 1").select(F.col("doc_id").alias("__id"))
+    repeated = stored(ids.where("leads AND n > 1").select(F.col("doc_id").alias("__id")), "repeated")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     kept = docs.join(gone, docs[doc_id] == F.col("__id"), "left_anti")
     if repeated.isEmpty():
         return kept
-    return kept.unionByName(docs.join(repeated, docs[doc_id] == F.col("__id"), "left_semi").dropDuplicates([doc_id, text]))
+    # rows of ids that repeat get a written key, as ids do not tell them apart
+    rows = fingerprints(docs.join(repeated, docs[doc_id] == F.col("__id"), "left_semi"), text, WORDS, "__print")
+    rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    own = rows.select("__row", "__print", F.col(doc_id).alias("__id")).join(groups, F.col("__print") == F.col("__fp")).where("__id = __leader")
+    chosen = own.groupBy("__group").agg(F.min("__row").alias("__row")).select("__row")
+    return kept.unionByName(rows.join(chosen, "__row", "left_semi").drop("__print", "__row"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
