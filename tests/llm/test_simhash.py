@@ -103,3 +103,18 @@ def test_repeated_ids_with_other_texts_keep_one_row_of_each_component(documents)
     # one fingerprint, two texts: upper case is folded
     both = documents([(4, a), (4, a.upper()), (9, b)])
     assert sorted(r.doc_id for r in simhash.keep_one(both).collect()) == [4, 9]
+
+
+def test_an_odd_radius_links_no_pair_beyond_it(spark):
+    rng = random.Random(3)
+    link = lambda values, radius: {tuple(sorted((r.a, r.b))) for r in simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), radius).collect()}
+    assert link([0, 0b1111], 3) == set() and link([0, 0b111], 3) == {(0, 7)}
+    values = sorted({rng.getrandbits(40) for _ in range(5)} | {rng.getrandbits(7) for _ in range(40)})
+    for radius in (1, 3):
+        found, least = link(values, radius), roots(values, radius)
+        assert all((a ^ b).bit_count() <= radius for a, b in found)
+        parent = {v: v for v in values}
+        for _ in values:
+            for a, b in found:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+        assert [parent[v] for v in values] == [values[i] for i in least]

@@ -82,7 +82,7 @@ def _refined(bundles: DataFrame, depth: int, step: int, half: int) -> DataFrame:
     )
 
 
-def _meeting(depth: int, half: int):
+def _meeting(depth: int, half: int, radius: int):
     """Links between fingerprints that share a variant of one bundle."""
     masks = [ball(64 - depth, f) for f in range(half + 1)]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -106,10 +106,18 @@ def _meeting(depth: int, half: int):
         owners, group_size = owners[shared], size[size > 1]
         if not len(owners):
             return schema.empty_table()
-        # all fingerprints of one variant are within twice the half radius of each other: links to the least are enough
-        least = np.repeat(np.minimum.reduceat(owners, np.r_[0, np.cumsum(group_size)[:-1]]), group_size)
-        pairs = np.stack([owners, least], axis=1)[owners != least]
-        near = np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= 2 * half
+        if radius == 2 * half:
+            # all fingerprints of one variant are within the radius of each other: links to the least are enough
+            least = np.repeat(np.minimum.reduceat(owners, np.r_[0, np.cumsum(group_size)[:-1]]), group_size)
+            pairs = np.stack([owners, least], axis=1)[owners != least]
+        else:
+            group, found = np.repeat(np.arange(len(group_size)), group_size), []
+            for step in range(1, int(group_size.max())):
+                one, other = owners[:-step], owners[step:]
+                near = (group[:-step] == group[step:]) & (np.bitwise_count(one ^ other) <= radius)
+                found.append(np.unique(np.stack([np.maximum(one, other)[near], np.minimum(one, other)[near]], axis=1), axis=0))
+            pairs = np.concatenate(found)
+        near = np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= radius
         pairs = np.unique(pairs[near], axis=0)
         return pa.Table.from_arrays([pa.array(pairs[:, i].view(np.int64)) for i in range(2)], schema=schema)
 
@@ -133,7 +141,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, bundle: int = BUNDLE, step:
             light = bundles.join(heavy, "prefix", "left_anti")
         else:
             heavy, light = None, bundles
-        found.append(light.groupBy("prefix").applyInArrow(_meeting(depth, half), "a long, b long"))
+        found.append(light.groupBy("prefix").applyInArrow(_meeting(depth, half, radius), "a long, b long"))
         if heavy is None or heavy.isEmpty():
             break
         more = min(step, 64 - depth)
