@@ -17,15 +17,11 @@ from veil.functions.ordered import default_ranges, ranges_for
 from veil.llm.common import ship, stored
 
 
-def in_ranges(df: DataFrame, order: Sequence[str], rows: int | None = None) -> DataFrame:
-    """Partitions that are ranges of `order` (nulls first), sorted; equal rows may fall into two of them.
-
-    With `rows`, the number of rows, there are as many as keep a range at what a task can surely sort.
-    """
-    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+def sorted_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """Partitions that are ranges of `order` (nulls first), sorted; equal rows may fall into two of them."""
     keys = [*order, "__tie"]
-    many = [ranges_for(rows)] if rows and ranges_for(rows) > default_ranges(df) else []
-    return tied.repartitionByRange(*many, *keys).sortWithinPartitions(*keys).drop("__tie")
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+    return tied.repartitionByRange(*([ranges] if ranges else []), *keys).sortWithinPartitions(*keys).drop("__tie")
 
 
 def begins(batch: pa.RecordBatch, group: Sequence[str], last: list | None) -> np.ndarray:
@@ -65,7 +61,8 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: st
             arrays = [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(local)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "__part", "__local"])
 
-    rows = stored(in_ranges(df, [*group, *order], df.count()).mapInArrow(run, schema), name)
+    ranges = ranges_for(df.count())  # as many as keep a range at what a task can surely sort
+    rows = stored(sorted_ranges(df, [*group, *order], ranges if ranges > default_ranges(df) else None).mapInArrow(run, schema), name)
     keys = [*group, "__part"]
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     whole = Window.partitionBy(*group) if group else Window.partitionBy()
