@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import groupby
+from itertools import chain, groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -210,51 +210,51 @@ LEGAL = {"su", "ua", "au"}
 COUNTS = ("blank", "duplicate", "truncated", "illegal", "turns")
 
 
-def _summary(schema: pa.Schema):
-    """One row of a segment: its matrix, its counts, and its ends, which its neighbours need."""
+def _groups(batches, *keys: str) -> Iterator[list[dict]]:
+    """Neighbouring rows with equal keys."""
+    held = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and any(row[k] != held[0][k] for k in keys):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("pos")
-        faults, initials, numbers = (rows.column(c).to_pylist() for c in ("fault", "initial", "turn"))
-        numbers = [t for t in numbers if t is not None]
-        found = {
-            "conv_id": rows.column("conv_id")[0].as_py(), "segment": rows.column("segment")[0].as_py(),
-            "matrix": [c for row in transition(rows.column("symbol").to_pylist()) for c in row],
-            **{f: faults.count(f) for f in ("blank", "duplicate", "truncated")},
-            "illegal": sum(a + b not in LEGAL for a, b in zip(initials, initials[1:])), "turns": len(set(numbers)),
-            "first": initials[0], "last": initials[-1], "low": numbers[0] if numbers else None, "high": numbers[-1] if numbers else None,
-        }
-        return pa.Table.from_pylist([found], schema=schema)
 
-    return run
+def _batches(rows: Iterator[dict], schema: pa.Schema, size: int = 1 << 12) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, size)):
+        yield pa.RecordBatch.from_pylist(some, schema=schema)
 
 
-def _costs_to_go(names: list[str]):
-    """Totals of a conversation on each of its segments, with the costs to go after the segment."""
+def _summary(rows: list[dict]) -> dict:
+    """One row of a segment: its matrix, its counts, and its ends, which its neighbours need."""
+    faults, initials, numbers = ([r[c] for r in rows] for c in ("fault", "initial", "turn"))
+    numbers = [t for t in numbers if t is not None]
+    return {
+        "conv_id": rows[0]["conv_id"], "segment": rows[0]["segment"], "matrix": [c for row in transition([r["symbol"] for r in rows]) for c in row],
+        **{f: faults.count(f) for f in ("blank", "duplicate", "truncated")},
+        "illegal": sum(a + b not in LEGAL for a, b in zip(initials, initials[1:])), "turns": len(set(numbers)),
+        "first": initials[0], "last": initials[-1], "low": numbers[0] if numbers else None, "high": numbers[-1] if numbers else None,
+    }
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("segment")
-        segments = rows.to_pylist()
-        to_go, after = at_end(), []
-        for s in reversed(segments):
-            after.append(list(to_go))
-            m = s["matrix"]
-            to_go = applied(tuple(tuple(m[4 * i : 4 * i + 4]) for i in STATES), to_go)
-        totals = {c: sum(s[c] for s in segments) for c in COUNTS}
-        for a, b in zip(segments, segments[1:]):
-            totals["illegal"] += a["last"] + b["first"] not in LEGAL
-            totals["turns"] -= a["high"] is not None and a["high"] == b["low"]
-        low, high = (next((s[c] for s in order if s[c] is not None), None) for c, order in (("low", segments), ("high", segments[::-1])))
-        gaps = 0 if low is None else high - low + 1 - totals["turns"]
-        n = len(segments)
-        values = {
-            "conv_id": rows.column("conv_id"), "segment": rows.column("segment"), "to_go": pa.array(after[::-1], pa.list_(pa.int64())),
-            "gaps": pa.array([gaps] * n, pa.int64()), "cost": pa.array([to_go[0]] * n, pa.int64()),
-            **{c: pa.array([totals[c]] * n, pa.int64()) for c in COUNTS[:-1]},
-        }
-        return pa.Table.from_arrays([values[c] for c in names], names=names)
-
-    return run
+
+def _costs_to_go(segments: list[dict]) -> Iterator[dict]:
+    """Totals of a conversation on each of its segments, with the costs to go after the segment."""
+    to_go, after = at_end(), []
+    for s in reversed(segments):
+        after.append(list(to_go))
+        m = s["matrix"]
+        to_go = applied(tuple(tuple(m[4 * i : 4 * i + 4]) for i in STATES), to_go)
+    totals = {c: sum(s[c] for s in segments) for c in COUNTS}
+    for a, b in zip(segments, segments[1:]):
+        totals["illegal"] += a["last"] + b["first"] not in LEGAL
+        totals["turns"] -= a["high"] is not None and a["high"] == b["low"]
+    low, high = (next((s[c] for s in order if s[c] is not None), None) for c, order in (("low", segments), ("high", segments[::-1])))
+    totals |= {"gaps": 0 if low is None else high - low + 1 - totals.pop("turns"), "cost": to_go[0]}
+    for s, costs in zip(segments, reversed(after)):
+        yield {"conv_id": s["conv_id"], "segment": s["segment"], "to_go": costs, **totals}
 
 
 def _schema(like: DataFrame, ddl: str) -> StructType:
@@ -271,31 +271,29 @@ def planned(conversations: DataFrame, segment: int = SEGMENT) -> tuple[DataFrame
     counts = ", ".join(f"{c} long" for c in COUNTS)
     shape = _schema(rows, f"segment long, matrix array<long>, {counts}, first string, last string, low long, high long")
     narrow = rows.select("conv_id", "segment", "pos", "turn", "fault", "symbol", initial(F.col("role")).alias("initial"))
-    parts = stored(narrow.groupBy("conv_id", "segment").applyInArrow(_summary(to_arrow_schema(shape)), shape), "segments")
     ends = _schema(rows, f"segment long, to_go array<long>, {', '.join(f'{c} long' for c in MEASURES)}")
-    segments = stored(parts.groupBy("conv_id").applyInArrow(_costs_to_go(ends.names), ends), "costs")
-    joined = join_groups(rows, segments.select("conv_id", "segment", "to_go"), ["conv_id", "segment"])
-    return joined, segments.where("segment = 0").drop("segment", "to_go")
+    shape_, ends_ = to_arrow_schema(shape), to_arrow_schema(ends)
 
+    def summaries(batches):
+        return _batches(map(_summary, _groups(batches, "conv_id", "segment")), shape_)
 
-def _segments(batches) -> Iterator[tuple[object, list[dict], bool]]:
-    """(conversation, turns of a segment, whether a new conversation begins) from sorted turns."""
-    held, conv, began = [], None, True
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and (row["conv_id"] != conv or row["segment"] != held[0]["segment"]):
-                yield conv, held, began
-                began, held = row["conv_id"] != conv, []
-            conv = row["conv_id"]
-            held.append(row)
-    if held:
-        yield conv, held, began
+    def costs(batches):
+        return _batches(chain.from_iterable(map(_costs_to_go, _groups(batches, "conv_id"))), ends_)
+
+    # sorted streams, not one call a conversation: most conversations are a few turns
+    keys = ["conv_id", "segment"]
+    parts = stored(narrow.repartition(*keys).sortWithinPartitions(*keys, "pos").mapInArrow(summaries, shape), "segments")
+    segments = stored(parts.repartition("conv_id").sortWithinPartitions(*keys).mapInArrow(costs, ends), "costs")
+    joined = join_groups(rows, segments.select("conv_id", "segment", "to_go"), ["conv_id", "segment"])
+    return joined, segments.where("segment = 0").drop("segment", "to_go")
 
 
 def _lines(batches) -> Iterator[tuple[object, bool, list[tuple[str, str | None, str]]]]:
     """(conversation, whether it begins, its next edits as (letter, role or None, text)); a conversation's last item closes it."""
     last, state = None, 0
-    for conv, rows, began in _segments(batches):
+    for rows in _groups(batches, "conv_id", "segment"):
+        conv = rows[0]["conv_id"]
+        began = last is None or last[0] != conv
         if began:
             if last:
                 yield last[0], False, [(e, r, "") for e, r in closing(state)]
