@@ -14,7 +14,7 @@ Two windows count as equal if all 96 bits are.
 Documents are put in the order of their ids first and stored with their place, in chunks of about half a million words:
 a place is a chunk and a word in it, and places order as (document, word) do. The suffixes of a piece of a chunk are sorted
 before they leave, and a window that repeats inside it is sent once: a passage that a third of all documents hold is one
-suffix a piece.
+suffix a piece. Groups are built in waves, so that a share of all suffixes is on disk at once; a wave reads the texts anew.
 
 Defined cases: words are runs of `[^\x20\x09-\x0D]`; a null text has none. Documents of fewer words than the window hold no
 window. A null id comes first; documents of one id follow the order of a digest of their text. Windows are judged on
@@ -42,8 +42,8 @@ from veil.llm.common import free_name, ship, slices, stored, table, texts
 from veil.llm.places import sorted_ranges
 
 WINDOW = 20
-#: Words of a chunk, suffixes of a group, bits of a prefix step, bytes of a range of documents.
-CHUNK, GROUP, BITS, RANGE_BYTES = 1 << 19, 1 << 20, 12, 64 << 20
+#: Words of a chunk, suffixes of a group, bits of a prefix step, bytes of a range of documents, shuffles one after another.
+CHUNK, GROUP, BITS, RANGE_BYTES, WAVES = 1 << 19, 1 << 20, 12, 64 << 20, 3
 #: Bits of a path; words of its edges as shares of the window.
 PATH, EDGES = 96, (0.2, 0.5, 1.0)
 
@@ -106,10 +106,24 @@ def _edge(codes: np.ndarray, begin: int, end: int, n: int) -> np.ndarray:
     return x >> np.uint64(32)
 
 
+def least_path(prefix: str) -> tuple[np.uint64, np.uint32]:
+    path = prefix.ljust(PATH // 4, "0")
+    return np.uint64(int(path[:16], 16)), np.uint32(int(path[16:], 16))
+
+
+def before(high: np.ndarray, low: np.ndarray, prefix: str) -> np.ndarray:
+    """Which paths are less than all that begin with a prefix."""
+    h, l = least_path(prefix)
+    return (high < h) | (high == h) & (low < l)
+
+
 class Suffixes:
-    """Sorted suffixes of a piece: path (`high`: 64 bits, `low`: 32), place, the first of each path only; `again`: places of the others."""
+    """Sorted suffixes of a piece: path (`high`: 64 bits, `low`: 32), place, the first of each path only; `again`: places of the others.
 
-    def __init__(self, documents: list[bytes], starts: np.ndarray, window: int):
+    Only paths from the prefix `begin` on and before the prefix `end` are held.
+    """
+
+    def __init__(self, documents: list[bytes], starts: np.ndarray, window: int, begin: str = "", end: str | None = None):
         words = [d.split() for d in documents]
         counts = np.fromiter(map(len, words), np.int64, len(words))
         codes = word_codes(list(chain.from_iterable(words)))
@@ -118,8 +132,12 @@ class Suffixes:
         place = (np.repeat(starts - (np.cumsum(counts) - counts), counts)[:n] + np.arange(n)).astype(np.uint32)
         cuts = [0, *(max(1, round(share * window)) for share in EDGES)]
         a, b, c = (_edge(codes, i, j, n) for i, j in zip(cuts, cuts[1:]))
-        whole = left >= window
-        high, low, place = (a << np.uint64(32) | b)[whole], c[whole].astype(np.uint32), place[whole]
+        high, low, own = a << np.uint64(32) | b, c.astype(np.uint32), left >= window
+        if begin:
+            own &= ~before(high, low, begin)
+        if end:
+            own &= before(high, low, end)
+        high, low, place = high[own], low[own], place[own]
         order = sorted_by_path(high, low)
         high, low, place = high[order], low[order], place[order]
         first = ~deep(high, low)
@@ -127,8 +145,7 @@ class Suffixes:
 
     def bound(self, prefix: str) -> int:
         """Number of suffixes before a prefix (hex digits)."""
-        path = prefix.ljust(PATH // 4, "0")
-        high, low = np.uint64(int(path[:16], 16)), np.uint32(int(path[16:], 16))
+        high, low = least_path(prefix)
         at = int(np.searchsorted(self.high, high))
         if low:
             to = int(np.searchsorted(self.high, high, "right"))
@@ -199,16 +216,15 @@ def borders(prefixes_: DataFrame, group: int) -> list[str]:
     return sorted(r["first"] for r in firsts.select("first").collect())
 
 
-def _bundles(text: str, window: int, first: list[str]):
-    """Suffixes of a piece by group; what repeats inside the piece goes along, past the trees."""
+def _bundles(text: str, window: int, first: list[str], end: str | None):
+    """Suffixes of a piece by group, for the groups that begin with `first`; what repeats inside the piece goes along, past the trees."""
 
     def run(batches):
         for chunk, documents, starts in pieces(batches, text):
-            s = Suffixes(documents, starts, window)
+            s = Suffixes(documents, starts, window, first[0], end)
             edges = np.array([0, *(s.bound(p) for p in first[1:]), len(s.high)])
-            found = np.flatnonzero(edges[1:] > edges[:-1]).tolist()
-            columns = [[x[edges[g] : edges[g + 1]].tobytes() for g in found] for x in (s.high, s.low, s.place)]
-            groups = list(found)
+            groups = np.flatnonzero(edges[1:] > edges[:-1]).tolist()
+            columns = [[x[edges[g] : edges[g + 1]].tobytes() for g in groups] for x in (s.high, s.low, s.place)]
             if len(s.again):
                 groups.append(-1 - chunk)
                 for column, x in zip(columns, (b"", b"", np.sort(s.again).tobytes())):
@@ -239,12 +255,20 @@ def _subtree(rows: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([rows.column("chunk").combine_chunks().take(pa.array(owners)), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
 
-def repeated_places(docs: DataFrame, text: str, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """(chunk, places): words of `placed` documents that begin a window which also begins earlier; stored."""
+def repeated_places(docs: DataFrame, text: str, window: int = WINDOW, group: int = GROUP, waves: int = WAVES) -> DataFrame:
+    """(chunk, places): words of `placed` documents that begin a window which also begins earlier; stored.
+
+    Groups are handled in waves, each with a shuffle of its own whose files go when it ends.
+    """
     ship(docs.sparkSession)
-    first = borders(prefixes(docs, text, window, group), group)
-    suffixes = docs.select("__chunk", "__start", text).mapInArrow(_bundles(text, window, first), "group long, chunk long, start long, high binary, low binary, place binary")
-    return stored(suffixes.groupBy("group").applyInArrow(_subtree, "chunk long, places binary"), "repeats")
+    first = borders(prefixes(docs, text, window, group), group) or [""]
+    per_wave, found = -(-len(first) // waves), None
+    for i in range(0, len(first), per_wave):
+        own, end = ["" if i == 0 else first[i], *first[i + 1 : i + per_wave]], first[i + per_wave] if i + per_wave < len(first) else None
+        suffixes = docs.select("__chunk", "__start", text).mapInArrow(_bundles(text, window, own, end), "group long, chunk long, start long, high binary, low binary, place binary")
+        wave = stored(suffixes.groupBy("group").applyInArrow(_subtree, "chunk long, places binary"), "repeats")
+        found = wave if found is None else found.union(wave)
+    return found
 
 
 def _removal(text: str, window: int, schema: pa.Schema):
@@ -276,10 +300,10 @@ def _removal(text: str, window: int, schema: pa.Schema):
     return run
 
 
-def deduplicated(docs: DataFrame, id_: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP, chunk: int = CHUNK) -> DataFrame:
+def deduplicated(docs: DataFrame, id_: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP, chunk: int = CHUNK, waves: int = WAVES) -> DataFrame:
     """`docs` with `n_words`, `repeats` (spans of words that are removed, ends exclusive) and `kept` (what is left, UTF-8)."""
     rows = placed(docs, id_, text, chunk)
-    marks = repeated_places(rows, text, window, group)
+    marks = repeated_places(rows, text, window, group, waves)
     names = [free_name(docs, c) for c in ("n_words", "repeats", "kept")]
     added = StructType.fromDDL(f"`{names[0]}` long, `{names[1]}` array<struct<begin: long, end: long>>, `{names[2]}` binary")
     schema = StructType([*docs.schema.fields, *added.fields])
