@@ -9,7 +9,7 @@ can derive (the least such set), all partitions fetch theirs in one join with th
 and expand a proof for each leaf on the spot. A proof holds, level by level up to the root, the place of the node in
 its run and the digests of the others; `folded` recomputes the root from it in plain column expressions.
 
-Trees are built the same way: blocks of 3^9 neighbouring leaves fold nine levels in a task, then blocks of the nodes
+Trees are built the same way: blocks of 3^7 neighbouring leaves fold seven levels in a task, then blocks of the nodes
 that are left. A source that holds most rows is many blocks; places are found inside ranges (`places`).
 
 Defined cases: the digest of a row names null cells apart from empty ones. A null id comes first in its source, rows of
@@ -36,7 +36,7 @@ from veil.llm.places import numbered
 
 FANOUT = 3
 #: Levels that one task folds: a block has FANOUT ** LEVELS leaves.
-LEVELS = 9
+LEVELS = 7
 #: The tree over the top nodes of the sources.
 TOP = -1
 NODE = "tree long, level int, idx long, digest string, n long"
