@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +174,42 @@ def test_gate_and_release_sink(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "results")).count() == 2
 
 
+def test_release_is_published_whole_or_not_at_all(spark, tmp_path):
+    rows = [(i, i % 7, "a" if i < 30 else "b", i % 2, i % 3 == 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, pid int, g string, flag int, y boolean").withColumn("y", F.col("y").cast("int"))
+    path = str(tmp_path / "release")
+    # a task fails after others have written
+    broken = df.withColumn("flag", F.when(F.col("id") == 39, F.raise_error(F.lit("broken")).cast("int")).otherwise(F.col("flag")))
+    with pytest.raises(Exception, match="broken"):
+        R.write_release(broken, ROLES, path, k=10, verified=df)
+    # what is written is not what was verified: rows are missing, or classes are cut below k
+    for part in (df.where("id <> 3"), df.unionByName(df.limit(1)), df.withColumn("g", F.when(F.col("id") == 3, "c").otherwise(F.col("g")))):
+        with pytest.raises(R.GateError):
+            R.write_release(part, ROLES, path, k=10, verified=df)
+    assert list(tmp_path.iterdir()) == []
+    found = R.write_release(df, ROLES, path, k=10, l=2, partition_by=["g"])
+    assert found == {"rows": 40, "min_k": 10, "classes": 2}
+    assert [p.name for p in tmp_path.iterdir()] == ["release"]
+    manifest = json.loads(spark.read.text(f"{path}/_manifest").first()[0])
+    assert manifest["rows"] == 40 and manifest["k"] == 10 and set(manifest["columns"]) == {"g", "flag", "y"}
+    with pytest.raises(FileExistsError):
+        R.write_release(df, ROLES, path, k=10)
+    assert spark.read.parquet(path).count() == 40
+
+
+def test_classes_beyond_t_are_withheld(spark):
+    rows = [(i, i, g, i % 2, y) for i, (g, y) in enumerate([("a", 1)] * 10 + [("b", i % 2) for i in range(60)] + [("c", 1)])]
+    df = spark.createDataFrame(rows, "id int, pid int, g string, flag int, y int")
+    kept = {r["g"] for r in R.releasable_classes(df, ROLES, 2, 2, 0.2).collect()}
+    assert kept == {"b"}
+    with pytest.raises(R.GateError):
+        R.check_gate(df, ROLES, k=2, l=2, t=0.2)
+    b = df.where("g = 'b'")
+    assert R.check_gate(b, ROLES, k=2, l=2, t=0.2, population=df) == {"k": 0, "l": 0, "t": 0}
+    with pytest.raises(R.GateError):  # by the rate of the whole table, not by its own
+        R.check_gate(b, ROLES, k=2, l=2, t=0.05, population=df)
+
+
 def test_combined_protection_parts_are_optional(spark, sf_dir):
     df = V.health(spark, sf_dir).select("admission_id", "age", "hospital", "hours_hospitalized", "released_sameday", "has_diabetes")
     same = R.protect(df, "admission_id", ["hours_hospitalized"], ["released_sameday"], ["age", "hospital"], None, None, None, None)

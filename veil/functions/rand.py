@@ -7,6 +7,9 @@ voids the privacy guarantee: production callers pass a secret one.
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import ceil
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,16 +21,29 @@ def salt(seed: str, column: str, draw: int = 0) -> str:
     return f"{seed}|{column}|{draw}"
 
 
-def uniform(salt_text: str, *keys: Column | str) -> Column:
-    """Uniform in (0, 1) from 52 bits of an MD5 digest; never exactly 0 or 1."""
+def digest(salt_text: str, *keys: Column | str) -> Column:
+    """MD5 of salt and keys in hex: two independent draws of 52 bits, its digits 1-13 and 14-26."""
     text = F.lit(salt_text)
     for k in keys:
         value = (F.col(k) if isinstance(k, str) else k).cast("string")
         text = F.concat(text, F.lit("|"), F.coalesce(value, F.lit("")))
-    bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+    return F.md5(text)
+
+
+def uniform(salt_text: str, *keys: Column | str) -> Column:
+    """Uniform in (0, 1) from 52 bits of an MD5 digest; never exactly 0 or 1."""
+    bits = F.conv(F.substring(digest(salt_text, *keys), 1, 13), 16, 10).cast("bigint")
     return (bits + F.lit(0.5)) / F.lit(_SPAN)
 
 
+def below(digits: Column, p: float) -> Column:
+    """Whether the uniform of a draw's 13 hex digits (further ones do no harm) is less than p, without making a number of them."""
+    first = ceil(Fraction(p) * 2**52 - Fraction(1, 2))  # the least draw that is not
+    if first <= 0 or first >= 2**52:
+        return F.lit(first > 0)
+    return digits < F.lit(f"{first:013x}")
+
+
 def laplace_noise(u: Column, scale: Column | float) -> Column:
     """Laplace draw with mean 0 by inverse CDF of a uniform."""
     scale = scale if isinstance(scale, Column) else F.lit(float(scale))

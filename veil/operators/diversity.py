@@ -84,14 +84,18 @@ def diversity_levels(classes: DataFrame) -> DataFrame:
     return levels.withColumn("pct_classes", F.round(100 * ratio(F.col("n_classes"), total.scalar()), 6))
 
 
-def rate_distance(classes: DataFrame, t: float = 0.2) -> DataFrame:
-    """Distance of the class target rate from the global rate, and whether it is within t."""
+def rate_distance(classes: DataFrame, t: float = 0.2, overall: float | None = None) -> DataFrame:
+    """Distance of the class target rate from the global rate, and whether it is within t.
+
+    The global rate is that of the given classes, or `overall`, say of a population they are a part of.
+    """
     classes = materialize(classes, "classes")
-    overall = classes.agg(ratio(F.sum(F.col("target_rate") * F.col("k")), F.sum("k")).alias("g"))
+    if overall is None:
+        rate = classes.agg(ratio(F.sum(F.col("target_rate") * F.col("k")), F.sum("k")).alias("g")).scalar()
+    else:
+        rate = F.lit(float(overall))
     distance = F.round(F.abs(F.col("target_rate") - F.col("__g")), 9)
-    return classes.withColumn("__g", overall.scalar()).withColumn("distance", distance).withColumn(
-        "t_close", F.col("distance") <= t
-    ).drop("__g")
+    return classes.withColumn("__g", rate).withColumn("distance", distance).withColumn("t_close", F.col("distance") <= t).drop("__g")
 
 
 def frequency_distance(df: DataFrame, quasi: Sequence[str], attr: str, ranges: int | None = None) -> DataFrame:

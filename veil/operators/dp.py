@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veil.functions.exprs import ratio
 from veil.functions.lineage import materialize
-from veil.functions.rand import laplace_noise, salt, uniform
+from veil.functions.rand import below, digest, laplace_noise, salt, uniform
 from veil.operators.profile import histogram
 
 Number = Column | float | str
@@ -113,15 +113,20 @@ def simulate_estimates(df: DataFrame, column: str, key: str, p: float, q: float,
     """Replicated response and estimation: (rep, noisy_rate, estimate, variance, normal_density).
 
     Rows are multiplied inside the map stage and summed there, so what is shuffled afterwards is one
-    row per replicate and task. The estimates, one row a replicate, are written before their mean is
-    taken. The density is that of the normal limit around the mean estimate.
+    row per replicate and task. A narrow table may be one partition; it is spread over all cores (two
+    narrow columns) before it is multiplied. Both draws of a replicate come from one digest. The
+    estimates, one row a replicate, are written before their mean is taken. The density is that of the
+    normal limit around the mean estimate.
     """
-    rows = df.where(F.col(column).isNotNull()).select(key, column)
+    rows = df.where(F.col(column).isNotNull()).select(key, F.col(column).cast("int").alias(column))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores, key)
     reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    first = uniform(f"{seed}|{column}|first", "rep", key) < F.lit(p)
-    noise = F.when(uniform(f"{seed}|{column}|second", "rep", key) < F.lit(q), 0).otherwise(1)
-    noisy = F.when(first, noise).otherwise(F.col(column).cast("int"))
-    rates = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.avg(noisy).alias("r"))
+    drawn = reps.select("rep", column, digest(f"{seed}|{column}|pair", "rep", key).alias("draw"))
+    noise = F.when(below(F.substring("draw", 14, 13), q), 0).otherwise(1)
+    noisy = F.when(below(F.col("draw"), p), noise).otherwise(F.col(column))
+    rates = drawn.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.avg(noisy).alias("r"))
     estimates = rates.select(
         "rep", F.col("r"), estimate_rate(F.col("r"), p, q).alias("e"), estimate_variance(F.col("r"), F.col("n"), p).alias("v")
     )

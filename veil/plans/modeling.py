@@ -6,13 +6,14 @@ trials, rows of attribution and permutations are the study's too. The README giv
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veil.functions.exprs import map_values
+from veil.functions.exprs import join_groups, map_values
 from veil.functions.lineage import materialize, scratch_path
+from veil.functions.pool import concurrently
 from veil.functions.rand import salt, uniform
 from veil.operators import explain as X
 from veil.operators import metrics as M
@@ -99,11 +100,12 @@ def v9(spark, sf):
 
 @query("v10_out_of_fold")
 def v10(spark, sf):
-    parts = [
-        ML.out_of_fold(spec, holdout(prep)[0], KEY, folds=5, inner=3).select(F.lit(name).alias("dataset"), F.lit(spec.name).alias("model"), "*")
-        for name, prep in datasets(spark, sf).items() for spec in MODELS
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    def scored(name, prep, spec):
+        found = ML.out_of_fold(spec, holdout(prep)[0], KEY, folds=5, inner=3)
+        return found.select(F.lit(name).alias("dataset"), F.lit(spec.name).alias("model"), "*")
+
+    runs = [partial(scored, name, prep, spec) for name, prep in datasets(spark, sf).items() for spec in MODELS]
+    return reduce(DataFrame.unionByName, concurrently(spark, runs))
 
 
 MEASURES = ["threshold", "accuracy", "recall", "precision", "specificity", "roc_auc", "pr_auc", "f2", "brier_score", "flagged_pct"]
@@ -112,10 +114,7 @@ LOSSES = ["accuracy", "recall", "f2", "roc_auc"]
 
 def trained_metrics(spark, sf):
     """(dataset, model, metric, value) of all models trained on both datasets, written once."""
-    parts = [
-        ML.train_and_evaluate(prep.rows, spec, KEY, GROUP, name, folds=5, inner=3) for name, prep in datasets(spark, sf).items() for spec in MODELS
-    ]
-    return materialize(reduce(DataFrame.unionByName, parts), "metrics")
+    return ML.comparison_study({name: prep.rows for name, prep in datasets(spark, sf).items()}, MODELS, KEY, GROUP, folds=5, inner=3)
 
 
 @query("v10_train_and_evaluate")
@@ -131,13 +130,10 @@ def v10b(spark, sf):
 
 @query("v24_feature_importance")
 def v24(spark, sf):
-    models, names = {}, {}
-    for dataset, prep in datasets(spark, sf).items():
-        train, _ = holdout(prep)
-        names[dataset] = prep.names
-        for spec in MODELS:
-            models[dataset, spec.name] = ML.fit(spec, train)
-    return ML.importance_table(spark, models, names, 10)
+    prepared = datasets(spark, sf)
+    runs = {(name, spec.name): partial(lambda prep, spec: ML.fit(spec, holdout(prep)[0]), prep, spec) for name, prep in prepared.items() for spec in MODELS}
+    models = dict(zip(runs, concurrently(spark, list(runs.values()))))
+    return ML.importance_table(spark, models, {name: prep.names for name, prep in prepared.items()}, 10)
 
 
 @query("v25_permutation_importance")
@@ -147,16 +143,15 @@ def v25(spark, sf):
     return X.permutation_importance(ML.fit(FOREST, train), test, prep.names, KEY, repeats=10)
 
 
-SHAPLEY_ROWS = 1000  # the study explains 800 to 1,000 rows; as many are the background
+SHAPLEY_ROWS = 1000  # the study explains 800 to 1,000 rows
 
 
 @query("v26_shapley_attribution")
 def v26(spark, sf):
     prep = baseline(spark, sf)
     train, test = holdout(prep)
-    sample = test.orderBy(uniform(salt(SEED, "sample"), KEY), KEY).limit(SHAPLEY_ROWS)
-    background = train.orderBy(uniform(salt(SEED, "background"), KEY), KEY).limit(SHAPLEY_ROWS)
-    return X.mean_absolute(X.shapley_values(ML.fit(FOREST, train), sample, background, prep.names, KEY))
+    sample = materialize(test.orderBy(uniform(salt(SEED, "sample"), KEY), KEY).limit(SHAPLEY_ROWS), "sample")
+    return X.mean_absolute(X.forest_shapley_values(ML.fit(FOREST, train), sample, prep.names, KEY))
 
 
 SWEEP_GRID = [(x / 100, 0.5) for x in range(5, 85, 5)]
@@ -209,20 +204,24 @@ SWEEP_EPSILON, SWEEP_P = [0.2, 0.5, 1.0, 2.0, 5.0], [0.1, 0.2, 0.3, 0.5, 0.7]
 SWEEP_K = [2, 3, 5, 8, 10]  # splitting ends at k: a fixed depth would end it at the same partitions for all of them
 
 
+# the study's trees have no depth limit; 30 is the most that Spark takes
+HEALTH_MODELS = (
+    ML.logistic(weight=None), ML.random_forest(trees=250, depth=30, min_leaf=1, weight=None),
+    ML.boosting(rounds=100, depth=3, rate=0.1, subsample=1.0, feature_share=1.0, min_leaf=1, weight=None),
+)
+
+
 @query("v28_isolated_sweeps")
 def v28(spark, sf):
     rows = materialize(health_rows(spark, sf), "health")
-    # the study's trees have no depth limit; 30 is the most that Spark takes
-    specs = [ML.logistic(weight=None), ML.random_forest(trees=250, depth=30, min_leaf=1, weight=None),
-             ML.boosting(rounds=100, depth=3, rate=0.1, subsample=1.0, feature_share=1.0, min_leaf=1, weight=None)]
-    return W.isolated_sweeps(rows, protect_health, HEALTH_NUM, HEALTH_CAT, "has_diabetes", "admission_id", specs, SWEEP_EPSILON, SWEEP_P, SWEEP_K, max_depth=None)
+    return W.isolated_sweeps(rows, protect_health, HEALTH_NUM, HEALTH_CAT, "has_diabetes", "admission_id", HEALTH_MODELS, SWEEP_EPSILON, SWEEP_P, SWEEP_K, max_depth=None, seed=SEED)
 
 
 @query("v29_unprotected_baseline")
 def v29(spark, sf):
-    rows = health_rows(spark, sf)
-    spec = ML.logistic(max_iter=30, weight=None)
-    return rounded(W.evaluate_split(spec, rows, HEALTH_NUM, HEALTH_CAT, "has_diabetes", "admission_id"), 4)
+    ready = W.split_inputs(health_rows(spark, sf), HEALTH_NUM, HEALTH_CAT, "has_diabetes", "admission_id")
+    measured = concurrently(spark, [partial(W.evaluate_prepared, spec, ready) for spec in HEALTH_MODELS])
+    return reduce(DataFrame.unionByName, [rounded(m, 4).withColumn("model", F.lit(s.name)) for s, m in zip(HEALTH_MODELS, measured)])
 
 
 @query("p18_combined_protection")
@@ -293,17 +292,22 @@ def s3(spark, sf):
     return read_csv(spark, path, strings=["patient_id"])
 
 
-GATE_T = 0.6  # small test tables have small classes, whose rates differ much from the whole
+def _release_sql() -> str:
+    ls = ", ".join(f"count(DISTINCT {a})" for a in SENSITIVE)
+    return f"""WITH {RELEASE}, ok AS (SELECT age_group, gender, region FROM pert GROUP BY ALL
+     HAVING count(*) >= 2 AND least({ls}) >= 2 AND round(abs(avg(noshow) - (SELECT avg(noshow) FROM pert)), 9) <= {T})
+    SELECT rel.age_group, rel.gender, rel.region, CAST(lead_days AS INT) AS lead_days, appt_dow, appt_month, sched_dow, sms_received, {', '.join(SENSITIVE)}, noshow
+    FROM rel JOIN ok ON rel.age_group IS NOT DISTINCT FROM ok.age_group AND rel.gender IS NOT DISTINCT FROM ok.gender AND rel.region IS NOT DISTINCT FROM ok.region"""
 
 
-@query(
-    "s5_release_sink",
-    f"WITH {RELEASE} SELECT age_group, gender, region, CAST(lead_days AS INT) AS lead_days, appt_dow, appt_month, sched_dow, sms_received, {', '.join(SENSITIVE)}, noshow FROM rel",
-)
+@query("s5_release_sink", _release_sql())
 def s5(spark, sf):
+    """Rows of classes that fulfil k 2, l 2 and t 0.2, the study's t; small tables have classes that do not, which are withheld."""
     released, perturbed = R.staged_release(V.clean_appointments(spark, sf), ROLES, SEED)
+    kept = materialize(R.releasable_classes(perturbed, ROLES, 2, 2, T), "releasable")
+    of = lambda df: join_groups(df, kept, ROLES.quasi, "left_semi")
     path = scratch_path(spark, "release")
-    R.write_release(released, ROLES, path, k=2, l=2, t=GATE_T, verified=perturbed, partition_by=["region"])
+    R.write_release(of(released), ROLES, path, k=2, l=2, t=T, verified=of(perturbed), partition_by=["region"], population=perturbed)
     return spark.read.parquet(path)
 
 

@@ -246,15 +246,14 @@ def p10(spark, sf):
 REPS = 500
 
 
-def _rep_u(which: str) -> str:
-    return (
-        f"((('0x'||substr(md5('{SEED}|income_binary|{which}|'||rep||'|'||person_id),1,13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
-    )
+def _rep_u(begin: int) -> str:
+    """A uniform from 13 of the hex digits of a replicate's digest."""
+    return f"((('0x'||substr(md5('{SEED}|income_binary|pair|'||rep||'|'||person_id),{begin},13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
 
 
 @query(
     "p11_simulated_estimates",
-    f"""WITH {ADULT}, x AS (SELECT person_id, rep, CASE WHEN {_rep_u('first')} < 0.9 THEN CASE WHEN {_rep_u('second')} < 0.5 THEN 0 ELSE 1 END
+    f"""WITH {ADULT}, x AS (SELECT person_id, rep, CASE WHEN {_rep_u(1)} < 0.9 THEN CASE WHEN {_rep_u(14)} < 0.5 THEN 0 ELSE 1 END
      ELSE CASE WHEN income = '<=50k' THEN 0 ELSE 1 END END AS y FROM adult, (SELECT CAST(range AS INT) AS rep FROM range({REPS}))),
     r AS (SELECT rep, count(*) AS n, avg(y) AS r FROM x GROUP BY 1), e AS (SELECT rep, r, (r - 0.9::DOUBLE * 0.5) / (1 - 0.9::DOUBLE) AS e, r * (1 - r) / (pow(1 - 0.9::DOUBLE, 2) * n) AS v FROM r)
     SELECT rep, round(r, 6) AS noisy_rate, round(e, 6) AS estimate, round(v, 10) AS variance,
