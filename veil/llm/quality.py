@@ -75,8 +75,16 @@ def _pieces(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["label", "piece"])
 
 
+def _likely(df: DataFrame, n: int, sizes: dict[int, int], key: str) -> DataFrame:
+    """About `n` rows of each label or all, by hash: so a label that has most rows is cut before its rows meet in one task."""
+    share = F.lit(0.0)
+    for label, size in sizes.items():
+        share = F.when(F.col("label") == label, F.lit(n * (1 << 30) / max(1, size))).otherwise(share)
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("cut")), F.lit(1 << 30)) < share)
+
+
 def _lowest(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """The `n` rows of each label whose keys hash lowest."""
+    """The `n` rows of each label whose keys hash lowest, of tables of bounded size."""
     order = Window.partitionBy("label").orderBy(F.xxhash64(*keys), *keys)
     return df.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")
 
@@ -88,7 +96,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     half = F.pmod(F.xxhash64(F.col("key"), F.lit("half")), F.lit(2)) == 0
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
-    chosen = _lowest(known.where(half), fit, "key").withColumn("use", F.lit(0)).unionByName(_lowest(known.where(~half), calibrate, "key").withColumn("use", F.lit(1)))
+    # a half has about half the rows of a label, so four times the sample of the whole is twice that of the half
+    fits, curves = (_lowest(_likely(known.where(own), 4 * n, counts, "key"), n, "key") for own, n in ((half, fit), (~half, calibrate)))
+    chosen = fits.withColumn("use", F.lit(0)).unionByName(curves.withColumn("use", F.lit(1)))
     sample = stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(stored(chosen, "chosen"), "key"), "labelled")
     pieces = sample.where("use = 0").select("label", "text").mapInArrow(_pieces, "label int, piece binary")
     found: dict[int, list[bytes]] = {0: [], 1: []}
