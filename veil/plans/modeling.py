@@ -140,7 +140,7 @@ def v24(spark, sf):
 def v25(spark, sf):
     prep = baseline(spark, sf)
     train, test = holdout(prep)
-    return X.permutation_importance(ML.fit(FOREST, train), test, prep.names, KEY, repeats=10)
+    return X.forest_permutation_importance(ML.fit(FOREST, train), test, prep.names, KEY, repeats=10)
 
 
 SHAPLEY_ROWS = 1000  # the study explains 800 to 1,000 rows
