@@ -166,3 +166,30 @@ def test_result_does_not_depend_on_partitioning(spark):
         p = M.partition(df.repartition(n), ["a", "c"], M.Validity(5), max_depth=2)
         ids.append({r["id"]: r["part_id"] for r in p.assign(df).collect()})
     assert ids[0] == ids[1] == ids[2]
+
+
+@pytest.mark.parametrize("most", [0, 40])
+@pytest.mark.parametrize(("rule", "limits"), [
+    (M.Validity(k=4), {}), (M.Validity(k=3, l=2), {}), (M.Validity(k=3, t=0.3), {"max_depth": 3}), (M.Validity(k=2, l=2, t=0.35), {"min_size": 20}),
+])
+def test_levels_and_tasks_give_the_same_boxes(spark, monkeypatch, rule, limits, most):
+    """All by level, and large partitions by level with the others finished in tasks; the other tests finish in one task."""
+    rows, sens = sample(300, 11, nulls=True), 3 if rule.l or rule.t else None
+    calls = []
+    monkeypatch.setattr(M, "LOCAL_CELLS", most)
+    monkeypatch.setattr(M, "_split_level", lambda *a, f=M._split_level: calls.append(1) or f(*a))
+    got, _, _ = spark_partitions(spark, rows, SCHEMA, ["a", "h", "c"], rule, "s" if sens else None, **limits)
+    assert got == brute(rows, "nnc", rule, sens, **limits)
+    assert len(calls) >= 2
+
+
+def test_a_hot_combination_is_split_by_level_only_while_large(spark, monkeypatch):
+    """Jobs by level end as soon as partitions fit a task; what is left is one grouped pass."""
+    calls = []
+    monkeypatch.setattr(M, "LOCAL_CELLS", 2000)
+    monkeypatch.setattr(M, "_split_level", lambda *a, f=M._split_level: calls.append(1) or f(*a))
+    df = spark.range(12_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 997).alias("a"), (F.col("id") % 89).alias("h"))
+    p = M.partition(df, ["a", "h"], M.Validity(k=3))
+    sizes = p.cells.groupBy("part_id").agg(F.sum("n").alias("n"), F.max(F.length("part_id")).alias("depth")).agg(F.sum("n"), F.min("n"), F.max("depth")).first()
+    assert sizes[0] == 12_000 and sizes[1] >= 3
+    assert 1 <= len(calls) < sizes[2] - 1  # fewer levels than the boxes are deep

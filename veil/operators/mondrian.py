@@ -2,19 +2,24 @@
 
 A split depends on the quasi-identifiers only, so rows that agree on them never part. The rows are
 therefore aggregated once into cells (one per distinct combination, with its row count) and all
-partitioning runs on the cells, level by level: one aggregate measures every open partition, one
-join moves the cells to the child partitions. Each level is written to the shared checkpoint folder.
-A combination that a third of all rows share is one cell.
+partitioning runs on the cells. A partition of more cells than a task should hold is split level by
+level: one aggregate measures every such partition, one join moves the cells to the child partitions,
+and each level is written to the shared checkpoint folder. As soon as a partition is small enough, one
+task finishes it, whatever its depth, all of them in one grouped pass. A combination that a third of
+all rows share is one cell.
 
 Partition ids are paths of bits: the root is "1", its children are "10" (left) and "11" (right).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +30,8 @@ from veil.functions.ordered import ROWS_PER_RANGE, ranges_for, running_sums
 from veil.operators.diversity import frequency_distance_from_counts, rank_levels
 
 ROOT = "1"
+#: Cells of a partition that a task finishes, and levels of a sensitive attribute that are sent to it.
+LOCAL_CELLS, LOCAL_LEVELS = 1 << 16, 10_000
 
 
 @dataclass(frozen=True)
@@ -178,13 +185,99 @@ def _is_categorical(features: Sequence[str], categorical: Sequence[str]) -> str:
     return f"j IN ({codes})" if codes else "false"
 
 
+def finish_locally(
+    width: int, nominal: set[int], full: dict[int, float], rule: Validity, sensitive: str | None, shares: dict | None, min_size: int | None,
+    max_depth: int | None,
+) -> Callable[[pa.Table], pa.Table]:
+    """Splits the cells of one partition to the end, by the rules of the level-wise form.
+
+    `full` are the spans of the whole table, `shares` the global shares of the sensitive values (for t).
+    Everything the function needs is inside it, so it can be sent to tasks that lack this package.
+    """
+
+    def rounded(x: float) -> Decimal:
+        return Decimal(repr(float(x))).quantize(Decimal("1e-12"), ROUND_HALF_UP)
+
+    def candidate(j, x, missing, n):
+        """(span, cut, inclusive, rows left, rows right) of a split on feature j, or None."""
+        known = ~missing
+        values, place = np.unique(x[known], return_inverse=True)
+        if not len(values):
+            return None
+        counts = np.bincount(place, n[known], len(values)).astype(np.int64)
+        upto, absent = np.cumsum(counts), int(n[missing].sum())
+        total = int(upto[-1])
+        if j in nominal:
+            half = len(values) // 2
+            if not half:
+                return None
+            span, cut, inclusive, below = float(len(values)), values[half - 1], True, int(upto[half - 1])
+        else:
+            first, second = (int(np.searchsorted(upto, r, "right")) for r in ((total - 1) // 2, total // 2))
+            cut = (values[first] + values[second]) / 2
+            span, inclusive = float(values[-1] - values[0]), bool(cut == values[0])
+            below = int(counts[0] if inclusive else upto[first] - counts[first] if first == second else upto[first])
+        return span, float(cut), inclusive, below + absent, total - below
+
+    def diverse_and_close(left, codes, n, g):
+        farthest, seen = 0.0, False
+        for side in (left, ~left):
+            own = np.bincount(codes[side] + 1, n[side], len(g) + 1)
+            if rule.l is not None and np.count_nonzero(own[1:]) < rule.l:
+                return False
+            if rule.t is not None and own[1:].any():
+                farthest, seen = max(farthest, float(np.abs(own[1:] / own.sum() - g).max())), True
+        return rule.t is None or (seen and rounded(farthest) <= Decimal(repr(rule.t)))
+
+    def run(cells: pa.Table) -> pa.Table:
+        columns = [cells.column(f"__x{j}") for j in range(width)]
+        missing = [c.is_null().to_numpy() for c in columns]
+        xs = [np.where(m, 0.0, c.fill_null(0.0).to_numpy()) for c, m in zip(columns, missing)]
+        n, root = cells.column("n").to_numpy(), cells.column("part_id")[0].as_py()
+        codes, g = np.zeros(len(n), np.int64), np.zeros(1)
+        if sensitive is not None:
+            levels = list(shares) if shares is not None else [v for v in cells.column(sensitive).unique().to_pylist() if v is not None]
+            place = {v: i for i, v in enumerate(levels)}
+            codes = np.array([-1 if v is None else place[v] for v in cells.column(sensitive).to_pylist()], np.int64)
+            g = np.array([shares[v] for v in levels]) if shares is not None else np.zeros(len(levels))
+        ids, todo = np.empty(len(n), object), [(root, np.arange(len(n)))]
+        while todo:
+            name, own = todo.pop()
+            best, size = None, n[own].sum()
+            if (max_depth is None or len(name) - 1 < max_depth) and (min_size is None or size >= min_size):
+                for j in range(width):
+                    found = candidate(j, xs[j][own], missing[j][own], n[own])
+                    if found is None or min(found[3:]) < max(rule.k, 1):
+                        continue
+                    span, cut, inclusive = found[:3]
+                    whole = full.get(j)
+                    order = -rounded(span / whole if whole else span), j
+                    if best is not None and order >= best[0]:
+                        continue
+                    x = xs[j][own]
+                    left = missing[j][own] | (x < cut) | (inclusive & (x == cut))
+                    if sensitive is None or diverse_and_close(left, codes[own], n[own], g):
+                        best = order, left
+            if best is None:
+                ids[own] = name
+            else:
+                todo += [(name + "0", own[best[1]]), (name + "1", own[~best[1]])]
+        at = cells.schema.get_field_index("part_id")
+        return cells.set_column(at, "part_id", pa.array(ids, pa.string()))
+
+    return run
+
+
 def partition(
     df: DataFrame, features: Sequence[str], rule: Validity = Validity(), sensitive: str | None = None,
     categorical: Sequence[str] | None = None, max_depth: int | None = None, min_size: int | None = None,
 ) -> Partitioning:
     """Greedy recursive partitioning of the rows into boxes that fulfil the validity rule.
 
-    `max_depth` and `min_size` stop early. The driver only sees a few counts per level.
+    `max_depth` and `min_size` stop early. The driver only sees a few counts per level, and levels are
+    only run for partitions of more than LOCAL_CELLS cells: the number of jobs does not depend on the
+    depth of the boxes. With more levels of the sensitive attribute than LOCAL_LEVELS, or values that
+    are no numbers, all is done by level.
     """
     features = list(features)
     categorical = split_types(df, features, categorical)
@@ -198,44 +291,68 @@ def partition(
     scale = materialize(full_spans(active, width, is_cat), "spans")
     levels = materialize(rank_levels(active, sensitive, "n"), "levels") if rule.t is not None else None
     columns = [*features, *extra, "n", *[f"__x{j}" for j in range(width)], "part_id"]
+    active = active.select(*columns)
+    odd = reduce(lambda a, b: a | b, [F.isnan(f"__x{j}") for j in range(width)])
+    largest, n_odd = active.agg(F.count(F.lit(1)), F.count_if(odd)).first()
+    finish, most = None, 0
+    if not n_odd and (levels is None or levels.count() <= LOCAL_LEVELS):
+        full = {r["j"]: r["full_span"] for r in scale.collect()}  # one row a feature
+        shares = None if levels is None else {r["level"]: r["global_share"] for r in levels.collect()}  # at most LOCAL_LEVELS rows
+        nominal = {j for j, c in enumerate(features) if c in categorical}
+        finish = finish_locally(width, nominal, full, rule, sensitive if uses_sensitive else None, shares, min_size, max_depth)
+        most = LOCAL_CELLS
     finals: list[DataFrame] = []
-    largest, depth = active.count(), 0
-    while max_depth is None or depth < max_depth:
-        splits = measure_splits(active, width, is_cat, ranges_for(largest * width))
-        enough = f"cut IS NOT NULL AND least(n_left, n_right) >= {max(rule.k, 1)}"
-        if min_size is not None:
-            enough += f" AND n_part >= {min_size}"
-        valid = splits.where(enough)
-        if uses_sensitive:
-            valid = _sensitive_rules(active, materialize(valid, "splits"), width, sensitive, rule, levels)
-        chosen = choose_splits(valid.join(scale, "j", "left").withColumn("rel_span", relative_span()))
-        chosen = materialize(chosen, "chosen")  # one row a partition; its size is known to the join
-        x = "CASE j " + " ".join(f"WHEN {j} THEN `__x{j}`" for j in range(width)) + " END"
-        moved = active.withColumnRenamed("part_id", "parent").join(chosen.withColumnRenamed("part_id", "parent"), "parent", "left")
-        moved = moved.selectExpr(
-            *[f"`{c}`" for c in columns if c != "part_id"],
-            f"concat(parent, CASE WHEN j IS NULL THEN '' WHEN {goes_left(x)} THEN '0' ELSE '1' END) AS part_id", "j IS NOT NULL AS split",
-        )
-        level = materialize(moved, f"mondrian{depth}")
+    depth = 0
+    while active is not None and (max_depth is None or depth < max_depth):
+        if largest <= most:
+            finals.append(active.groupBy("part_id").applyInArrow(finish, active.schema))
+            active = None
+            break
+        level = _split_level(active, columns, width, is_cat, rule, extra, scale, levels, min_size, largest, depth)
         state = level.agg(F.count_if("split").alias("open"), F.count_if(~F.col("split")).alias("closed")).first()
         if state["closed"]:
             finals.append(level.where(~F.col("split")).select(*columns))
-        active = level.where("split").select(*columns)
+        active, largest = level.where("split").select(*columns), state["open"]
         depth += 1
         if not state["open"]:
             active = None
-            break
-        largest = state["open"]
-        if largest * width > ROWS_PER_RANGE:
+        elif most or largest * width > ROWS_PER_RANGE:
             # what one task has to sort is the largest partition, not the level
-            sizes = active.groupBy("part_id").agg(F.count(F.lit(1)).alias("m"))
+            sizes = materialize(active.groupBy("part_id").agg(F.count(F.lit(1)).alias("m")), "sizes")
             largest = sizes.agg(F.max("m")).first()[0]
+            if most and (max_depth is None or depth < max_depth) and largest > most:
+                small = active.join(sizes.where(F.col("m") <= most).select("part_id"), "part_id", "left_semi")
+                finals.append(small.groupBy("part_id").applyInArrow(finish, small.schema))
+                active = active.join(sizes.where(F.col("m") > most).select("part_id"), "part_id", "left_semi")
     if active is not None:
         finals.append(active)
     cells = materialize(reduce(DataFrame.unionByName, finals), "partitions")
     return Partitioning(cells, tuple(features), tuple(categorical), sensitive, uses_sensitive)
 
 
+def _split_level(
+    active: DataFrame, columns: Sequence[str], width: int, is_cat: str, rule: Validity, extra: Sequence[str], scale: DataFrame,
+    levels: DataFrame | None, min_size: int | None, largest: int, depth: int,
+) -> DataFrame:
+    """Cells in the children of their partitions, and whether the partition was split; written."""
+    splits = measure_splits(active, width, is_cat, ranges_for(largest * width))
+    enough = f"cut IS NOT NULL AND least(n_left, n_right) >= {max(rule.k, 1)}"
+    if min_size is not None:
+        enough += f" AND n_part >= {min_size}"
+    valid = splits.where(enough)
+    if extra:
+        valid = _sensitive_rules(active, materialize(valid, "splits"), width, extra[0], rule, levels)
+    chosen = choose_splits(valid.join(scale, "j", "left").withColumn("rel_span", relative_span()))
+    chosen = materialize(chosen, "chosen")  # one row a partition; its size is known to the join
+    x = "CASE j " + " ".join(f"WHEN {j} THEN `__x{j}`" for j in range(width)) + " END"
+    moved = active.withColumnRenamed("part_id", "parent").join(chosen.withColumnRenamed("part_id", "parent"), "parent", "left")
+    moved = moved.selectExpr(
+        *[f"`{c}`" for c in columns if c != "part_id"],
+        f"concat(parent, CASE WHEN j IS NULL THEN '' WHEN {goes_left(x)} THEN '0' ELSE '1' END) AS part_id", "j IS NOT NULL AS split",
+    )
+    return materialize(moved, f"mondrian{depth}")
+
+
 def spans(df: DataFrame, features: Sequence[str], categorical: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(by..., feature, span): max - min, or distinct values of categorical features.
 
