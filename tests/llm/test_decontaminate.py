@@ -106,3 +106,22 @@ def test_query_over_the_tables_equals_brute_force(spark, sf_dir):
                     names |= found
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(names), bool(hit))
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+
+
+def test_items_that_share_a_text(spark, documents):
+    """A text that a third of all items share is searched once; blocks are bounded; all ids are listed."""
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared, others = words(15), [words(12) for _ in range(60)]
+    items = [(f"c{i}", shared) for i in range(30)] + [(f"o{i}", t) for i, t in enumerate(others)] + [(None, shared), ("c1", shared), ("x", None)]
+    items = spark.createDataFrame(items, "item_id string, text string")
+    blocks, copies = D.item_blocks(items.withColumnRenamed("item_id", "id"), 1000)
+    sizes = {}
+    for r in blocks.collect():
+        sizes[r["block"]] = sizes.get(r["block"], 0) + len(r["text"])
+    assert len(sizes) > 3 and max(sizes.values()) <= 1000 + 150 and copies.count() == 29
+    docs = documents([(1, f"a {shared} b"), (2, f"{others[0]} and {others[59]}"), (3, words(40)), (4, None), (1, f"{shared} {others[7]}")])
+    for size in (1 << 24, 1000):
+        got = [(r["doc_id"], sorted(r["hits"]["items"]) == r["hits"]["items"], set(r["hits"]["items"])) for r in D.matches(docs, items, block_bytes=size).collect()]
+        every = {f"c{i}" for i in range(30)}
+        assert sorted(got, key=str) == sorted([(1, True, every), (2, True, {"o0", "o59"}), (3, True, set()), (4, True, set()), (1, True, every | {"o7"})], key=str)

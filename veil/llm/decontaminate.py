@@ -6,8 +6,9 @@ suffix of every benchmark item is looked up by binary search, word by word, in a
 are one longer match, so the longest verbatim matches and their places follow from the same search. Documents with a
 match are then removed.
 
-Items are searched in blocks of bounded size (a block is what is broadcast), each against all documents; a block adds
-its hits to those of the blocks before.
+Items are searched in blocks, each against all documents; a block, which is what is broadcast, has BLOCK_BYTES of text, and
+at most one item more. Equal item texts are searched once, under their least id; the other ids join the hits at the end. A
+block adds its hits to those of the blocks before.
 
 Defined cases: words are runs of ASCII letters, digits and all characters beyond ASCII; A-Z are lower-cased. An item of
 fewer than `window` words matches as a whole; an item without words matches nothing. Null texts have no words. An item
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from veil.functions.ordered import running_sums
 from veil.llm.common import free_name, stored, table, texts, with_columns
 
 WINDOW = 10
@@ -214,14 +216,35 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
     Runs one pass over `docs` for each block of items; what one pass found is written before the next.
     """
     spark = docs.sparkSession
-    items = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()  # a block is of bounded size
+    searched, copies = item_blocks(items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")), block_bytes)
+    numbers = sorted(r["block"] for r in searched.select("block").distinct().collect())  # total bytes over those of a block
+    for k, b in enumerate(numbers or [0]):
+        rows = searched.where(F.col("block") == b).collect()  # a block
         block = Suffixes([(r["id"], r["text"].encode("utf-8", "replace")) for r in rows], window)
-        docs = _pass(stored(docs, "hits") if b else docs, spark.sparkContext.broadcast(block), text, name, first=not b)
-    return docs
+        docs = _pass(stored(docs, "hits") if k else docs, spark.sparkContext.broadcast(block), text, name, first=not k)
+    return docs if copies.isEmpty() else _with_copies(docs, copies, name)
+
+
+def item_blocks(items: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(id, text, block): one row per text, in blocks by a running sum of bytes; and (id, other): further ids of a text. Both stored."""
+    known = items.where("text IS NOT NULL").withColumn("key", F.md5(F.col("text").cast("binary")))
+    texts_ = known.groupBy("key").agg(F.min("id").alias("id"), F.min("text").alias("text"))
+    summed = running_sums(texts_.withColumn("bytes", F.octet_length("text") + 16), "key", ["bytes"])
+    searched = stored(summed.select("key", "id", "text", F.expr(f"(cum_bytes - bytes) div {block_bytes}").alias("block")), "items")
+    ids = known.select("key", F.col("id").alias("other")).where("other IS NOT NULL").distinct()
+    copies = searched.select("key", "id").join(ids, "key").where("other <> id").select("id", "other")
+    return searched.select("id", "text", "block"), stored(copies, "copies")
+
+
+def _with_copies(docs: DataFrame, copies: DataFrame, name: str) -> DataFrame:
+    """Adds the further ids of the items that were hit. Only rows with hits and ids are shuffled, without texts."""
+    row = free_name(docs, "row")
+    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "hits")
+    hit = docs.select(row, F.explode(f"{name}.items").alias("__id"))
+    more = hit.join(copies.withColumnRenamed("id", "__id"), "__id").groupBy(row).agg(F.collect_set("other").alias("__more"))
+    joined = docs.join(more, row, "left")
+    every = F.array_sort(F.array_union(f"{name}.items", F.coalesce("__more", F.array().cast("array<string>"))))
+    return joined.withColumn(name, F.col(name).withField("items", every)).drop(row, "__more")
 
 
 def _pass(docs: DataFrame, block, text: str, name: str, first: bool) -> DataFrame:
