@@ -80,3 +80,20 @@ def test_query_against_brute_force(spark, sf_dir):
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.op5_embedding_dedup(spark, sf_dir).collect()}
     assert got == brute(rows)
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    """Two vectors at a cosine that single precision would put on the other side of the least similarity."""
+    a, least = np.array([1.0, 0.0]), 0.98
+    for delta in (1e-11, -1e-11):
+        c = least + delta
+        b = np.array([c, np.sqrt(1 - c * c)])
+        df = spark.createDataFrame([(1, a.tolist(), 0), (2, b.tolist(), 0)], "vec_id long, embedding array<double>, label int")
+        assert {r.n_links for r in vectors.near_duplicates(df, recall=1 - 1e-9).collect()} == {int(delta > 0)}
+
+
+def test_one_vector_in_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(8)
+    data = [(i, rng.standard_normal(8).tolist() if i % 3 else [1.0] * 8, 0) for i in range(300)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(data, KIND), recall=1 - 1e-9).collect()}
+    assert got == brute([(i, [float(np.float32(x)) for x in v], c) for i, v, c in data])

@@ -1,6 +1,7 @@
 """Near-duplicate vectors: random-hyperplane sign hashing in several tables, exact cosines, connected components.
 
-Equal vectors of one label are first put together, so links are searched between different vectors only. A vector's
+Equal vectors of one label are first put together, by a 128-bit digest that travels in their stead, so links are searched
+between different vectors only. A vector's
 signs on the hyperplanes of a table are its bucket there. Tables and hyperplanes follow from the number of vectors: as
 many hyperplanes as keep buckets small, and as many tables as find a pair at the least similarity with probability RECALL.
 Every two vectors of a bucket are compared; a bucket of more than BLOCK vectors is cut into blocks, and pairs of
@@ -102,10 +103,18 @@ def _linked(similarity: float):
     return run
 
 
+def digest(embedding: str = "embedding") -> Column:
+    """128 bits of a vector."""
+    first, second = F.xxhash64(F.lit(1), embedding), F.xxhash64(F.lit(2), embedding)
+    return F.concat_ws(":", first.cast("string"), second.cast("string"))
+
+
 def representatives(vectors: DataFrame) -> DataFrame:
-    """(rid, label, embedding, size, n, least): one row for equal vectors of a label, with their number and least id."""
-    same = vectors.where(usable()).groupBy("label", "embedding").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
-    return stored(stored(same, "same").withColumn("rid", F.monotonically_increasing_id()).withColumn("size", F.size("embedding")), "representatives")
+    """(rid, label, digest, embedding, size, n, least): one row for equal vectors of a label, with their number and least id."""
+    same = vectors.where(usable()).withColumn("digest", digest()).groupBy("label", "digest")
+    # equal vectors are put together before the shuffle, and one of them travels as a value, not as a key
+    found = same.agg(F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
+    return stored(stored(found, "same").withColumn("rid", F.monotonically_increasing_id()).withColumn("size", F.size("embedding")), "representatives")
 
 
 def linked(reps: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -113,8 +122,9 @@ def linked(reps: DataFrame, similarity: float = SIMILARITY, recall: float = RECA
     ship(reps.sparkSession)
     most = reps.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 0
     bits, tables = shape(most, similarity, recall)
-    schema = "rid long, label string, n long, size int, embedding array<float>, codes array<int>"
-    coded = reps.select("rid", F.col("label").cast("string").alias("label"), "n", "size", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(_codes(bits, tables), schema)
+    kind = "double" if reps.schema["embedding"].dataType.elementType.typeName() == "double" else "float"
+    schema = f"rid long, label string, n long, size int, embedding array<{kind}>, codes array<int>"
+    coded = reps.select("rid", F.col("label").cast("string").alias("label"), "n", "size", F.col("embedding").cast(f"array<{kind}>").alias("embedding")).mapInArrow(_codes(bits, tables), schema)
     coded = stored(coded, "coded")
     bucket = ["label", "size", "code", "t"]
     placed = coded.select("*", F.posexplode("codes").alias("t", "code"))
@@ -137,9 +147,11 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     counts = found.groupBy("rid").agg(F.sum("links").alias("links"))
     known = (
         reps.join(counts, "rid", "left").join(named.withColumnRenamed("node", "rid"), "rid", "left")
-        .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "least").alias("component_id"))
+        .select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "least").alias("component_id"))
     )
-    out = rows.join(stored(known, "known"), ["label", "embedding"], "left")
+    # vectors that cannot link have no digest, and no label or vector is needed here any more
+    narrow = rows.select("vec_id", F.when(usable(), F.col("label")).alias("label"), F.when(usable(), digest()).alias("digest"))
+    out = narrow.join(stored(known, "known"), ["label", "digest"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
