@@ -51,7 +51,7 @@ def test_all_models_on_both_datasets(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(modeling.ML, "out_of_fold", lambda spec, df, key, folds, inner: df.limit(5).select(key, "label"))
     monkeypatch.setattr(
         modeling.ML, "train_and_evaluate",
-        lambda rows, spec, key, group, name, folds, inner: modeling.M.evaluate(
+        lambda rows, spec, key, group, name, folds, inner, results: modeling.M.evaluate(
             modeling.ML.score(modeling.ML.fit(spec, rows), rows).select("label", "score"), 0.5
         ).select(F.lit(name).alias("dataset"), F.lit(spec.name).alias("model"), "metric", "value"),
     )
@@ -61,3 +61,29 @@ def test_all_models_on_both_datasets(spark, sf_dir, monkeypatch):
         assert {(r["dataset"], r["model"]) for r in rows} == every, name
         if name == "v10_train_and_evaluate":
             assert len({(r["dataset"], r["best_model"]) for r in rows}) == 2 and all(r["loss_points_roc_auc"] is not None for r in rows)
+
+
+def test_baseline_and_isolated_sweeps_run_all_models(spark, sf_dir, monkeypatch):
+    """v29 and v28 with small stand-ins of the three specs and two settings of each parameter."""
+    small = (modeling.ML.logistic(5, weight=None), modeling.ML.random_forest(2, 2, weight=None), modeling.ML.boosting(1, 2, weight=None))
+    monkeypatch.setattr(modeling, "HEALTH_MODELS", small)
+    assert {r["model"] for r in QUERIES["v29_unprotected_baseline"](spark, sf_dir).collect()} == {m.name for m in small}
+    for name, values in (("SWEEP_EPSILON", [0.5, 5.0]), ("SWEEP_P", [0.1]), ("SWEEP_K", [3])):
+        monkeypatch.setattr(modeling, name, values)
+    rows = QUERIES["v28_isolated_sweeps"](spark, sf_dir).collect()
+    assert len(rows) == 5 * 3 * 2 and {r["parameter"] for r in rows} == {"none", "epsilon", "p", "k"}
+    assert all(0 <= r["value"] <= 1 for r in rows)
+
+
+def test_logistic_gradient_is_zero_at_the_returned_coefficients(spark, sf_dir):
+    """The penalized loss that V6 states, differentiated in columns over the training rows."""
+    from pyspark.ml.functions import vector_to_array
+
+    train, _ = modeling.holdout(modeling.baseline(spark, sf_dir))
+    model = modeling.ML.fit(modeling.LOGISTIC, train)
+    rows = modeling.ML.score(model, modeling.ML.weighted(train, "balanced")).withColumn("x", vector_to_array("features"))
+    error = F.col("weight") * (F.col("score") - F.col("label"))
+    total, constant, *slopes = rows.agg(F.sum("weight"), F.sum(error), *[F.sum(error * F.col("x")[j]) for j in range(len(model.coefficients))]).first()
+    assert abs(constant) / total < 1e-5
+    for slope, w in zip(slopes, model.coefficients):
+        assert abs(slope + w) / total < 1e-5  # C = 1: the penalty's gradient is the coefficient itself

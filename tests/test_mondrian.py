@@ -193,3 +193,25 @@ def test_a_hot_combination_is_split_by_level_only_while_large(spark, monkeypatch
     sizes = p.cells.groupBy("part_id").agg(F.sum("n").alias("n"), F.max(F.length("part_id")).alias("depth")).agg(F.sum("n"), F.min("n"), F.max("depth")).first()
     assert sizes[0] == 12_000 and sizes[1] >= 3
     assert 1 <= len(calls) < sizes[2] - 1  # fewer levels than the boxes are deep
+
+
+@pytest.mark.parametrize("most", [1 << 16, 60])
+@pytest.mark.parametrize("rule", [M.Validity(k=3), M.Validity(k=3, l=2)], ids=["k", "kl"])
+def test_rows_go_down_the_tree_to_their_cell_without_a_shuffle(spark, monkeypatch, rule, most):
+    monkeypatch.setattr(M, "LOCAL_CELLS", most)
+    rows = sample(400, 5, nulls=True)
+    _, p, df = spark_partitions(spark, rows, SCHEMA, ["a", "h", "c"], rule, "s" if rule.l else None)
+    assert p.depth >= 4 and p.n_cells > 100
+    routed = p.assign(df, most_cells=0)
+    joined = p.assign(df)
+    assert routed.columns == joined.columns
+    assert {r["id"]: r["part_id"] for r in routed.collect()} == {r["id"]: r["part_id"] for r in joined.collect()}
+    plan = routed._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("Initial Plan")[0].splitlines() if "Exchange" in line]
+    assert exchanges and all("Broadcast" in line for line in exchanges)
+
+
+def test_a_tree_without_splits(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 2.0)], "id int, a double")
+    p = M.partition(df, ["a"], M.Validity(k=3))
+    assert p.depth == 0 and {r["part_id"] for r in p.assign(df, most_cells=0).collect()} == {"1"}

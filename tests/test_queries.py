@@ -5,9 +5,9 @@ import pytest
 from oracle import compare, connect
 from veil.plans import ORACLES, QUERIES
 
-# several minutes together; run by `python tests/oracle.py`
-SLOW = {"v9_calibrated_ensemble", "v10_out_of_fold", "v10_train_and_evaluate", "v24_feature_importance", "v28_isolated_sweeps",
-        "v27_response_model_sweep", "m13_compare_rules", "v6_logistic_regression"}
+# many minutes together, see the README; the same operators run with small parameters in test_models, test_forest, test_restart and test_modeling
+SLOW = {"v8_gradient_boosting", "v9_calibrated_ensemble", "v10_out_of_fold", "v10_train_and_evaluate", "v24_feature_importance", "v28_isolated_sweeps",
+        "v27_response_model_sweep", "v29_unprotected_baseline"}
 
 
 @pytest.fixture(scope="module")

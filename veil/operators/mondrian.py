@@ -32,6 +32,9 @@ from veil.operators.diversity import frequency_distance_from_counts, rank_levels
 ROOT = "1"
 #: Cells of a partition that a task finishes, and levels of a sensitive attribute that are sent to it.
 LOCAL_CELLS, LOCAL_LEVELS = 1 << 16, 10_000
+#: Cells up to which rows are joined with their cell.
+JOINED_CELLS = 100_000
+SPLIT = "part_id string, j int, cut double, inclusive boolean"
 
 
 @dataclass(frozen=True)
@@ -48,7 +51,8 @@ class Partitioning:
     """Cells with their final partition, and what is needed to go back to the rows.
 
     `cells` has the feature columns, their codes `__x<j>`, the row count `n`, `part_id`, and the
-    sensitive column when a validity rule used it.
+    sensitive column when a validity rule used it. `splits` (part_id, j, cut, inclusive) is the tree of
+    the chosen splits, `depth` its height, `n_cells` the number of cells.
     """
 
     cells: DataFrame
@@ -56,12 +60,47 @@ class Partitioning:
     categorical: tuple[str, ...]
     sensitive: str | None
     keyed_by_sensitive: bool
-
-    def assign(self, df: DataFrame) -> DataFrame:
-        """Rows with their `part_id`. The cell table is joined on the features, null-safe."""
+    splits: DataFrame
+    depth: int
+    n_cells: int
+
+    def assign(self, df: DataFrame, most_cells: int = JOINED_CELLS) -> DataFrame:
+        """The partitioned rows with their `part_id`.
+
+        A small cell table is joined on the features, null-safe. Beyond `most_cells` cells, rows go
+        down the tree of splits instead (`route`): that table has one row per inner node, so it can
+        be broadcast long after the cells cannot, and no hot combination meets in one task.
+        """
+        if self.n_cells > most_cells:
+            return self.route(df)
         keys = [*self.features, *([self.sensitive] if self.keyed_by_sensitive else [])]
         return join_groups(df, self.cells.select(*keys, "part_id"), keys)
 
+    def route(self, df: DataFrame) -> DataFrame:
+        """Rows with their `part_id`, found level by level from the splits of a level, in one narrow stage while those are small.
+
+        Values that the partitioned table does not have go where missing ones go.
+        """
+        rows, columns = df, list(df.columns)
+        for j, c in enumerate(self.features):
+            if c in self.categorical:
+                codes = materialize(_level_codes(self.cells, c).withColumnRenamed("__code", f"__x{j}"), "codes")
+                rows = rows.join(codes, F.col(f"`{c}`").cast("string") == F.col("__level"), "left").drop("__level")
+            else:
+                rows = rows.withColumn(f"__x{j}", F.col(f"`{c}`").cast("double"))
+        rows = rows.withColumn("part_id", F.lit(ROOT))
+        x = _feature_value(len(self.features))
+        for d in range(self.depth):
+            level = self.splits.where(F.length("part_id") == d + len(ROOT)).withColumnRenamed("part_id", "__parent")
+            rows = rows.join(level, F.col("part_id") == F.col("__parent"), "left")
+            side = F.expr(f"CASE WHEN j IS NULL THEN '' WHEN {goes_left(x)} THEN '0' ELSE '1' END")
+            rows = rows.withColumn("part_id", F.concat("part_id", side)).drop("__parent", "j", "cut", "inclusive")
+        return rows.select(*columns, "part_id")
+
+
+def _feature_value(width: int) -> str:
+    return "CASE j " + " ".join(f"WHEN {j} THEN `__x{j}`" for j in range(width)) + " END"
+
 
 def split_types(df: DataFrame, features: Sequence[str], categorical: Sequence[str] | None) -> list[str]:
     """The categorical ones among the features: as told, else all strings and booleans."""
@@ -189,7 +228,7 @@ def finish_locally(
     width: int, nominal: set[int], full: dict[int, float], rule: Validity, sensitive: str | None, shares: dict | None, min_size: int | None,
     max_depth: int | None,
 ) -> Callable[[pa.Table], pa.Table]:
-    """Splits the cells of one partition to the end, by the rules of the level-wise form.
+    """Splits the cells of one partition to the end, by the rules of the level-wise form; its first cell carries the splits.
 
     `full` are the spans of the whole table, `shares` the global shares of the sensitive values (for t).
     Everything the function needs is inside it, so it can be sent to tasks that lack this package.
@@ -240,7 +279,7 @@ def finish_locally(
             place = {v: i for i, v in enumerate(levels)}
             codes = np.array([-1 if v is None else place[v] for v in cells.column(sensitive).to_pylist()], np.int64)
             g = np.array([shares[v] for v in levels]) if shares is not None else np.zeros(len(levels))
-        ids, todo = np.empty(len(n), object), [(root, np.arange(len(n)))]
+        ids, todo, splits = np.empty(len(n), object), [(root, np.arange(len(n)))], []
         while todo:
             name, own = todo.pop()
             best, size = None, n[own].sum()
@@ -257,13 +296,16 @@ def finish_locally(
                     x = xs[j][own]
                     left = missing[j][own] | (x < cut) | (inclusive & (x == cut))
                     if sensitive is None or diverse_and_close(left, codes[own], n[own], g):
-                        best = order, left
+                        best = order, left, {"part_id": name, "j": j, "cut": cut, "inclusive": inclusive}
             if best is None:
                 ids[own] = name
             else:
                 todo += [(name + "0", own[best[1]]), (name + "1", own[~best[1]])]
+                splits.append(best[2])
         at = cells.schema.get_field_index("part_id")
-        return cells.set_column(at, "part_id", pa.array(ids, pa.string()))
+        kind = pa.list_(pa.struct([("part_id", pa.string()), ("j", pa.int32()), ("cut", pa.float64()), ("inclusive", pa.bool_())]))
+        made = pa.array([splits, *[None] * (len(n) - 1)], kind)
+        return cells.set_column(at, "part_id", pa.array(ids, pa.string())).append_column("splits", made)
 
     return run
 
@@ -293,7 +335,8 @@ def partition(
     columns = [*features, *extra, "n", *[f"__x{j}" for j in range(width)], "part_id"]
     active = active.select(*columns)
     odd = reduce(lambda a, b: a | b, [F.isnan(f"__x{j}") for j in range(width)])
-    largest, n_odd = active.agg(F.count(F.lit(1)), F.count_if(odd)).first()
+    n_cells, n_odd = active.agg(F.count(F.lit(1)), F.count_if(odd)).first()
+    largest = n_cells
     finish, most = None, 0
     if not n_odd and (levels is None or levels.count() <= LOCAL_LEVELS):
         full = {r["j"]: r["full_span"] for r in scale.collect()}  # one row a feature
@@ -302,13 +345,22 @@ def partition(
         finish = finish_locally(width, nominal, full, rule, sensitive if uses_sensitive else None, shares, min_size, max_depth)
         most = LOCAL_CELLS
     finals: list[DataFrame] = []
+    trees: list[DataFrame] = []
+
+    def finished(cells: DataFrame) -> None:
+        schema = T.StructType([*cells.schema.fields, T.StructField("splits", T.ArrayType(T.StructType.fromDDL(SPLIT)))])
+        done = materialize(cells.groupBy("part_id").applyInArrow(finish, schema), "finished")
+        finals.append(done.select(*columns))
+        trees.append(done.select(F.inline("splits")))
+
     depth = 0
     while active is not None and (max_depth is None or depth < max_depth):
         if largest <= most:
-            finals.append(active.groupBy("part_id").applyInArrow(finish, active.schema))
+            finished(active)
             active = None
             break
-        level = _split_level(active, columns, width, is_cat, rule, extra, scale, levels, min_size, largest, depth)
+        level, chosen = _split_level(active, columns, width, is_cat, rule, extra, scale, levels, min_size, largest, depth)
+        trees.append(chosen.select("part_id", F.col("j").cast("int").alias("j"), "cut", "inclusive"))
         state = level.agg(F.count_if("split").alias("open"), F.count_if(~F.col("split")).alias("closed")).first()
         if state["closed"]:
             finals.append(level.where(~F.col("split")).select(*columns))
@@ -321,20 +373,21 @@ def partition(
             sizes = materialize(active.groupBy("part_id").agg(F.count(F.lit(1)).alias("m")), "sizes")
             largest = sizes.agg(F.max("m")).first()[0]
             if most and (max_depth is None or depth < max_depth) and largest > most:
-                small = active.join(sizes.where(F.col("m") <= most).select("part_id"), "part_id", "left_semi")
-                finals.append(small.groupBy("part_id").applyInArrow(finish, small.schema))
-                active = active.join(sizes.where(F.col("m") > most).select("part_id"), "part_id", "left_semi")
+                finished(active.join(sizes.where(F.col("m") <= most).select("part_id"), "part_id", "left_semi").select(*columns))
+                active = active.join(sizes.where(F.col("m") > most).select("part_id"), "part_id", "left_semi").select(*columns)
     if active is not None:
         finals.append(active)
-    cells = materialize(reduce(DataFrame.unionByName, finals), "partitions")
-    return Partitioning(cells, tuple(features), tuple(categorical), sensitive, uses_sensitive)
+    cells = finals[0] if len(finals) == 1 else materialize(reduce(DataFrame.unionByName, finals), "partitions")
+    splits = materialize(reduce(DataFrame.unionByName, trees), "splits") if trees else df.sparkSession.createDataFrame([], SPLIT)
+    height = splits.agg(F.max(F.length("part_id") - len(ROOT) + 1)).first()[0] or 0
+    return Partitioning(cells, tuple(features), tuple(categorical), sensitive, uses_sensitive, splits, height, n_cells)
 
 
 def _split_level(
     active: DataFrame, columns: Sequence[str], width: int, is_cat: str, rule: Validity, extra: Sequence[str], scale: DataFrame,
     levels: DataFrame | None, min_size: int | None, largest: int, depth: int,
-) -> DataFrame:
-    """Cells in the children of their partitions, and whether the partition was split; written."""
+) -> tuple[DataFrame, DataFrame]:
+    """Cells in the children of their partitions, and whether the partition was split; and the splits. Both written."""
     splits = measure_splits(active, width, is_cat, ranges_for(largest * width))
     enough = f"cut IS NOT NULL AND least(n_left, n_right) >= {max(rule.k, 1)}"
     if min_size is not None:
@@ -344,13 +397,13 @@ def _split_level(
         valid = _sensitive_rules(active, materialize(valid, "splits"), width, extra[0], rule, levels)
     chosen = choose_splits(valid.join(scale, "j", "left").withColumn("rel_span", relative_span()))
     chosen = materialize(chosen, "chosen")  # one row a partition; its size is known to the join
-    x = "CASE j " + " ".join(f"WHEN {j} THEN `__x{j}`" for j in range(width)) + " END"
+    x = _feature_value(width)
     moved = active.withColumnRenamed("part_id", "parent").join(chosen.withColumnRenamed("part_id", "parent"), "parent", "left")
     moved = moved.selectExpr(
         *[f"`{c}`" for c in columns if c != "part_id"],
         f"concat(parent, CASE WHEN j IS NULL THEN '' WHEN {goes_left(x)} THEN '0' ELSE '1' END) AS part_id", "j IS NOT NULL AS split",
     )
-    return materialize(moved, f"mondrian{depth}")
+    return materialize(moved, f"mondrian{depth}"), chosen
 
 
 def spans(df: DataFrame, features: Sequence[str], categorical: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:

@@ -24,8 +24,8 @@ from veil.operators import sweep as W
 from veil.operators.clean import flag_score
 from veil.plans.clean_features import AGE_CODES, GENDER_CODES
 from veil.plans.evaluation import rounded
-from veil.plans.privacy_queries import PERT, SEED, rr_sql
-from veil.plans.registry import APPT, CLEAN, query
+from veil.plans.privacy_queries import PERT, SEED, lap_sql, rr_sql
+from veil.plans.registry import APPT, CLEAN, HEALTH, query, uniform_sql
 from veil.plans.risk_queries import SENSITIVE, T
 from veil.roles import APPOINTMENT_ROLES as ROLES
 from veil.sources import views as V
@@ -229,6 +229,37 @@ def p18(spark, sf):
     return protect_health(health_rows(spark, sf), 1.0, 0.3, 0.5, 100)
 
 
+def _health_sql() -> str:
+    """`health_rows` in the oracle dialect."""
+    u = lambda name: uniform_sql(salt("label", name), "admission_id")
+    label = f"CAST({u('diabetes')} < 0.1::DOUBLE + 0.4::DOUBLE * age / 95 + 0.4::DOUBLE * severity / 100 AS INT)"
+    side = f"CASE WHEN {uniform_sql(salt(SEED, 'split'), "has_diabetes || '|' || admission_id")} < 0.25 THEN 'test' ELSE 'train' END"
+    return f"""{HEALTH}, sev AS (SELECT admission_id, age, hours_hospitalized, released_sameday, round(100 * {u('severity')}, 3) AS severity FROM health),
+     lab AS (SELECT *, {label} AS has_diabetes FROM sev), hr AS (SELECT *, {side} AS side FROM lab)"""
+
+
+def _noised_sql(column: str) -> str:
+    return f"round({column} + {lap_sql(uniform_sql(salt(SEED, column, 0), 'admission_id'), f'(SELECT (max({column}) - min({column}))::DOUBLE FROM hr)')}, 4) AS {column}"
+
+
+@query(
+    "p18_row_parts",
+    f"""WITH {_health_sql()} SELECT admission_id, {_noised_sql('hours_hospitalized')}, {_noised_sql('severity')},
+    {rr_sql('released_sameday', 'admission_id', 0.3, 0.5)} AS released_sameday, has_diabetes, side FROM hr""",
+)
+def p18_rows(spark, sf):
+    """All that combined protection does row by row: noise, randomized response, and columns it must leave alone."""
+    out = protect_health(health_rows(spark, sf), 1.0, 0.3, 0.5, 100)
+    return out.select("admission_id", F.round("hours_hospitalized", 4).alias("hours_hospitalized"), F.round("severity", 4).alias("severity"), "released_sameday", "has_diabetes", "side")
+
+
+@query("p18_class_guarantee", "SELECT count(*) AS n_rows, true AS all_classes_reach_k FROM events HAVING count(*) >= 100")
+def p18_classes(spark, sf):
+    """Combined protection releases every row, in classes of k or more."""
+    classes = protect_health(health_rows(spark, sf), 1.0, 0.3, 0.5, 100).groupBy("age", "hospital", "marital_status").agg(F.count(F.lit(1)).alias("n"))
+    return classes.agg(F.sum("n").alias("n_rows"), (F.min("n") >= 100).alias("all_classes_reach_k"))
+
+
 _UTIL = ["lead_days", "appt_dow", "appt_month", "sched_dow", "sms_received"]
 RELEASE = (
     f"{PERT}, rel AS (SELECT appointment_id, patient_id, age_group, gender, region, {', '.join(_UTIL)}, "
