@@ -4,6 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from oracle import compare, connect
 from veil.llm import merkle
 
 NAMES = merkle.COLUMNS
@@ -67,6 +68,10 @@ def test_query_over_the_tables(spark, sf_dir):
     assert {r[-1] for r in got} == {True, False}
 
 
+def test_query_equals_its_sql(spark, sf_dir):
+    assert compare(spark, connect(sf_dir), merkle.op11_merkle_manifest, merkle.ORACLE, sf_dir) == ""
+
+
 @pytest.mark.parametrize("levels", [1, 2])
 def test_hot_source_in_many_blocks(documents, levels):
     rows = [(i, f"x\n{i}", None, "hot") for i in range(200)] + [(i, "y", "en", f"s{i}") for i in range(200, 230)] + [(230, None), (231, "", None, "")]

@@ -4,6 +4,7 @@ from veil.llm.chat import ORACLE as CHAT_SQL
 from veil.llm.chat import op2_chat_format
 from veil.llm.decontaminate import op1_decontamination
 from veil.llm.langid import op7_language_id
+from veil.llm.merkle import ORACLE as MERKLE_SQL
 from veil.llm.merkle import op11_merkle_manifest
 from veil.llm.mixing import op4_mixing
 from veil.llm.output import op9_token_output
@@ -22,4 +23,4 @@ _ALL = (
     op13_substring_dedup,
 )
 QUERIES = {q.__name__: q for q in _ALL}
-ORACLES = {"op2_chat_format": CHAT_SQL, "op13_substring_dedup": REPEATS_SQL}
+ORACLES = {"op2_chat_format": CHAT_SQL, "op11_merkle_manifest": MERKLE_SQL, "op13_substring_dedup": REPEATS_SQL}

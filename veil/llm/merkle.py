@@ -255,3 +255,39 @@ def audited(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`audited` over all documents."""
     return audited(table(spark, sf_dir, "documents", *COLUMNS))
+
+
+def _cell(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR) END"
+
+
+#: crc32 of the decimal id, eight steps a digit: the first of them takes the digit in.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+     lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda s, c: xor(xor(s, c) >> 1, CASE WHEN xor(s, c) % 2 = 1 THEN 3988292384 ELSE 0 END)))"""
+_CELLS = " || ".join(_cell(c) for c in COLUMNS)
+_CHANGED = " || ".join(_cell("changed" if c == "text" else c) for c in COLUMNS)
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT *, CASE WHEN {_CRC} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents),
+l AS (SELECT doc_id, source, sha256({_CELLS}) AS h, sha256({_CHANGED}) AS c FROM d),
+p AS (SELECT row_number() OVER () AS r, *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l),
+low AS (SELECT source, 0 AS level, pos AS idx, h, n FROM p
+  UNION ALL SELECT source, level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 2) // 3) FROM low WHERE n > 1 GROUP BY source, level, idx // 3),
+t AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER () AS n FROM low WHERE n = 1),
+top AS (SELECT 0 AS level, tree AS idx, h, n FROM t
+  UNION ALL SELECT level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 2) // 3) FROM top WHERE n > 1 GROUP BY level, idx // 3),
+q AS (SELECT p.*, t.tree, t.h AS subroot FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source),
+s AS (SELECT r, level, idx, low.h FROM q JOIN low ON q.source IS NOT DISTINCT FROM low.source AND low.n > 1
+   AND low.idx // 3 = q.pos // CAST(pow(3, level + 1) AS BIGINT) AND low.idx <> q.pos // CAST(pow(3, level) AS BIGINT)
+  UNION ALL SELECT r, 1000 + level, idx, top.h FROM q JOIN top ON top.n > 1
+   AND top.idx // 3 = q.tree // CAST(pow(3, level + 1) AS BIGINT) AND top.idx <> q.tree // CAST(pow(3, level) AS BIGINT)),
+proof AS (SELECT r, string_agg(h, '' ORDER BY level, idx) AS x FROM s GROUP BY r),
+f AS (SELECT r, source, 0 AS level, pos AS idx, c AS h, n FROM q
+  UNION ALL SELECT r, any_value(f.source), any_value(f.level + 1), any_value(f.idx // 3), sha256(string_agg(CASE WHEN low.idx = f.idx THEN f.h ELSE low.h END, '' ORDER BY low.idx)), any_value((f.n + 2) // 3)
+   FROM f JOIN low ON f.n > 1 AND f.source IS NOT DISTINCT FROM low.source AND f.level = low.level AND low.idx // 3 = f.idx // 3 GROUP BY r),
+g AS (SELECT q.r, 0 AS level, q.tree AS idx, f.h, (SELECT count(*) FROM t) AS n FROM f JOIN q ON f.r = q.r WHERE f.n = 1
+  UNION ALL SELECT r, any_value(g.level + 1), any_value(g.idx // 3), sha256(string_agg(CASE WHEN top.idx = g.idx THEN g.h ELSE top.h END, '' ORDER BY top.idx)), any_value((g.n + 2) // 3)
+   FROM g JOIN top ON g.n > 1 AND g.level = top.level AND top.idx // 3 = g.idx // 3 GROUP BY r)
+SELECT q.doc_id, q.h AS leaf, q.subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(proof.x, '')) AS proof_sha256,
+  g.h AS folded_root, g.h = (SELECT h FROM top WHERE n = 1) AS verified
+FROM q JOIN g ON q.r = g.r AND g.n = 1 LEFT JOIN proof ON q.r = proof.r
+"""
