@@ -8,6 +8,7 @@ from itertools import groupby
 import pytest
 from pyspark.sql import functions as F
 
+from oracle import compare, connect
 from veil.llm import repair
 
 ROWS = "conv_id long, turn long, role string, text string"
@@ -101,6 +102,10 @@ def test_query_over_the_tables(spark, sf_dir):
     assert sum(r[5] > 0 for r in got.values()) > len(got) // 4
 
 
+def test_query_equals_its_sql(spark, sf_dir):
+    assert compare(spark, connect(sf_dir), repair.op12_structure_repair, repair.ORACLE, sf_dir) == ""
+
+
 def random_rows(rng, n, convs):
     roles = ["user", "assistant", "system", "tool", "", None, "user", "assistant"]
     texts = ["", " \n", "a.", "b!", "c", "d", "e? ", "f.\n", None, "é", "g.x"]

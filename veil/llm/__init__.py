@@ -10,6 +10,7 @@ from veil.llm.mixing import op4_mixing
 from veil.llm.output import op9_token_output
 from veil.llm.pii import op6_pii
 from veil.llm.quality import op10_quality
+from veil.llm.repair import ORACLE as REPAIR_SQL
 from veil.llm.repair import op12_structure_repair
 from veil.llm.repeats import ORACLE as REPEATS_SQL
 from veil.llm.repeats import op13_substring_dedup
@@ -23,4 +24,4 @@ _ALL = (
     op13_substring_dedup,
 )
 QUERIES = {q.__name__: q for q in _ALL}
-ORACLES = {"op2_chat_format": CHAT_SQL, "op11_merkle_manifest": MERKLE_SQL, "op13_substring_dedup": REPEATS_SQL}
+ORACLES = {"op2_chat_format": CHAT_SQL, "op11_merkle_manifest": MERKLE_SQL, "op12_structure_repair": REPAIR_SQL, "op13_substring_dedup": REPEATS_SQL}

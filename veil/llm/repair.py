@@ -398,3 +398,65 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damages all conversations and repairs them."""
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     return repair_report(damaged(rows), rows)
+
+
+def _moves() -> str:
+    """Rows (symbol, state, letters, cost, next state, roles of insertions, role made up) of all insertions and one edit."""
+    rows = []
+    for symbol in (GONE, *(r + t for r in "suax" for t in ("", "t"))):
+        for state in STATES:
+            at, letters, roles = state, "", []
+            for n in range(3):
+                for edit in "DKR":
+                    to = target(symbol, at, edit)
+                    if to is not None:
+                        kept = {"D": "NULL", "K": "''", "R": f"'{MADE[at]}'"}[edit]
+                        lines = "".join(f"{r}:\n" for r in roles).replace("\n", "' || chr(10) || '")
+                        rows.append(f"('{symbol}', {state}, '{letters}{edit}', {INSERT * n + edit_cost(symbol, edit)}, {to}, '{lines}', {kept})")
+                letters, roles, at = letters + "I", [*roles, MADE[at]], made(at)
+    return ", ".join(rows)
+
+
+def _ends() -> str:
+    """Rows (state, letters, cost, lines) of insertions that end a conversation."""
+    rows = []
+    for state in STATES:
+        at, roles = state, []
+        for n in range(3):
+            if not ENDS[at]:
+                lines = "".join(f"{r}:\n" for r in roles).replace("\n", "' || chr(10) || '")
+                rows.append(f"({state}, '{'I' * n}', {INSERT * n}, '{lines}')")
+            roles, at = [*roles, MADE[at]], made(at)
+    return ", ".join(rows)
+
+
+_KEY = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+#: crc32 of the key, eight steps a character: the first of them takes the character in.
+_CRC = f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({_KEY}, ''),
+     lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda s, c: xor(xor(s, c) >> 1, CASE WHEN xor(s, c) % 2 = 1 THEN 3988292384 ELSE 0 END)))"""
+ORACLE = f"""
+WITH RECURSIVE h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS kind FROM conversations),
+c AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+   CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+   unnest(CASE WHEN kind = 0 THEN [] WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM h),
+e AS (SELECT *, sha256(strlen(role) || ':' || role || text) AS digest, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS tail FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest, copy) AS i FROM e),
+f AS (SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN i > min(i) OVER (PARTITION BY conv_id, digest) THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+   CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS initial FROM o),
+g AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN '{GONE}' WHEN fault = 'truncated' THEN initial || 't' ELSE initial END AS symbol,
+   lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM f),
+m AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+   count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+   count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+moves(symbol, state, letters, cost, next, made, role) AS (VALUES {_moves()}),
+ends(state, letters, cost, lines) AS (VALUES {_ends()}),
+v AS (SELECT m.conv_id, m.n AS i, ends.state, (arg_min({{'c': ends.cost, 'a': ends.letters, 'l': ends.lines}}, (ends.cost, ends.letters))) AS best FROM m, ends GROUP BY ALL
+  UNION ALL SELECT v.conv_id, v.i - 1, moves.state, arg_min({{'c': moves.cost + v.best.c, 'a': moves.letters || v.best.a,
+     'l': moves.made || CASE WHEN moves.role IS NULL THEN '' ELSE CASE WHEN moves.role = '' THEN g.role ELSE moves.role END || ':' || g.text || chr(10) END || v.best.l}},
+     (moves.cost + v.best.c, moves.letters || v.best.a))
+   FROM v JOIN g ON v.conv_id IS NOT DISTINCT FROM g.conv_id AND v.i = g.i JOIN moves ON moves.symbol = g.symbol AND moves.next = v.state GROUP BY v.conv_id, v.i, moves.state),
+r AS (SELECT conv_id, best FROM v WHERE i = 0 AND state = 0)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(left(best.l, length(best.l) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN m ON d.conv_id IS NOT DISTINCT FROM m.conv_id LEFT JOIN r ON d.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
