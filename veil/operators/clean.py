@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veil.functions.exprs import ratio
+from veil.functions.observed import written_with_counts
 from veil.functions.ordered import running_sums
 from veil.roles import Roles
 
@@ -34,6 +35,22 @@ def drop_failing(df: DataFrame, failures: dict[str, Column]) -> tuple[DataFrame,
     return kept, report
 
 
+def drop_failing_written(df: DataFrame, failures: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """`drop_failing` for rows that are written anyway: the report is counted by the scan that writes them."""
+    counts, passed = {"rows_in": F.count(F.lit(1))}, F.lit(True)
+    for name, bad in failures.items():
+        fails = F.coalesce(bad, F.lit(False))
+        counts[name] = F.count_if(passed & fails)
+        passed = passed & ~fails
+    return written_with_counts(df, counts, lambda rows: rows.where(passed), {"rows_out": F.count(F.lit(1))}, "kept")
+
+
+def cap_high_written(df: DataFrame, column: str, high) -> tuple[DataFrame, DataFrame]:
+    """Rows with capped values, written, and how many were capped, from one scan."""
+    capped = lambda rows: rows.withColumn(column, cap_high(F.col(column), high))
+    return written_with_counts(df, {"n_capped": F.count_if(F.col(column) > high)}, capped, {"max_after": F.max(column)}, "capped")
+
+
 def clamp_low(column: Column, low) -> Column:
     """Values below `low` become `low`; nulls stay null."""
     return F.when(column < low, F.lit(low)).otherwise(column)
@@ -91,6 +108,13 @@ def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Da
     return coerced, wide.unpivot([], list(columns), "column_name", "null_count")
 
 
+def coerce_numeric_written(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """`coerce_numeric` for rows that are written anyway: nulls are counted by the scan that writes them."""
+    nulls = {c: F.count_if(F.col(c).isNull()) for c in columns}
+    table, wide = written_with_counts(df, {"rows": F.count(F.lit(1))}, lambda rows: coerce_numeric(rows, columns)[0], nulls, "numeric")
+    return table, wide.drop("rows").unpivot([], list(columns), "column_name", "null_count")
+
+
 def lead_days_by_date(start: Column, end: Column) -> Column:
     """Whole days at date granularity: the same day gives 0 at any hour."""
     return F.datediff(F.to_date(end), F.to_date(start))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veil.functions.exprs import ratio
 from veil.functions.lineage import materialize
+from veil.functions.observed import written_with_counts
 from veil.functions.rand import below, digest, laplace_noise, salt, uniform
 from veil.operators.profile import histogram
 
@@ -66,6 +67,26 @@ def respond_all(df: DataFrame, columns: Sequence[str], key: str, p: float, q: fl
     return df.select("*", *[randomized_response(c, key, p, q, seed).alias(f"{c}{suffix}") for c in columns])
 
 
+def respond_all_written(df: DataFrame, columns: Sequence[str], key: str, p: float, q: float, seed: str, suffix: str = "_dp") -> tuple[DataFrame, DataFrame]:
+    """`respond_all`, written, with its `drift_report` from the scan that writes it."""
+    sums = {}
+    for c in columns:
+        for out, x in ((f"{c}|before", F.col(c)), (f"{c}|after", F.col(f"{c}{suffix}"))):
+            sums |= {f"{out}|0": F.count_if(x == 0), f"{out}|1": F.count_if(x == 1)}
+    before = {"rows": F.count(F.lit(1))}
+    table, counts = written_with_counts(df, before, lambda rows: respond_all(rows, columns, key, p, q, seed, suffix), sums, "responses")
+    entries = []
+    for c in columns:
+        zeros, ones = ({side: F.col(f"`{c}|{side}|{v}`") for side in ("before", "after")} for v in (0, 1))
+        rate = {side: ratio(ones[side], zeros[side] + ones[side]) for side in zeros}
+        entries.append(F.struct(
+            F.lit(c).alias("column_name"), F.round(rate["before"], 6).alias("rate_before"), F.round(rate["after"], 6).alias("rate_after"),
+            F.round(F.abs(rate["after"] - rate["before"]), 6).alias("abs_diff"), zeros["before"].alias("zeros_before"), ones["before"].alias("ones_before"),
+            zeros["after"].alias("zeros_after"), ones["after"].alias("ones_after"),
+        ))
+    return table, counts.select(F.inline(F.array(*entries)))
+
+
 def drift_report(df: DataFrame, columns: Sequence[str], suffix: str = "_dp") -> DataFrame:
     """Per column: rate before and after, absolute difference and counts of 0 and 1; one aggregate."""
     entries = []

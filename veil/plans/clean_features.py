@@ -10,7 +10,7 @@ from veil.functions.exprs import bin_column, map_values
 from veil.functions.rand import salt
 from veil.operators import clean as C
 from veil.operators.dp import respond_all
-from veil.plans.registry import AGE_CASE, APPT, CLEAN, query, uniform_sql
+from veil.plans.registry import ORACLES, AGE_CASE, APPT, CLEAN, query, uniform_sql
 from veil.roles import APPOINTMENT_ROLES
 from veil.sources import views as V
 from veil.sources.tables import table
@@ -214,6 +214,22 @@ def e13b(spark, sf):
     return C.coerce_numeric(V.clean_appointments(spark, sf), E13_COLS)[1]
 
 
+@query("e2_written_report", ORACLES["e2_drop_report"])
+def e2c(spark, sf):
+    """The report of E2 from the scan that writes the kept rows; so with E4 and E13 below."""
+    return C.drop_failing_written(V.appointments(spark, sf), _failures())[1]
+
+
+@query("e4_written_report", ORACLES["e4_cap_report"])
+def e4c(spark, sf):
+    return C.cap_high_written(V.appointments(spark, sf), "age", 100)[1]
+
+
+@query("e13_written_null_check", ORACLES["e13_null_check"])
+def e13c(spark, sf):
+    return C.coerce_numeric_written(V.clean_appointments(spark, sf), E13_COLS)[1]
+
+
 @query("e14a_lead_days_by_date", f"WITH {APPT} SELECT appointment_id, CAST({LEAD} AS INT) AS lead_days FROM appt")
 def e14a(spark, sf):
     lead = C.lead_days_by_date(F.col("scheduled_ts"), F.col("appointment_ts"))

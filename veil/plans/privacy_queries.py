@@ -11,7 +11,7 @@ from veil.functions.rand import salt
 from veil.operators import dp as DP
 from veil.operators import perturb as PT
 from veil.operators.profile import histogram
-from veil.plans.registry import ADULT, APPT, CLEAN, HEALTH, query, uniform_sql
+from veil.plans.registry import ORACLES, ADULT, APPT, CLEAN, HEALTH, query, uniform_sql
 from veil.plans.risk_queries import QUASI, SENSITIVE
 from veil.plans.scan_profile import histogram_sql
 from veil.sources import views as V
@@ -211,6 +211,12 @@ def p7(spark, sf):
     return DP.drift_report(responded(spark, sf), SENSITIVE)
 
 
+@query("p7_written_report", ORACLES["p7_drift_report"])
+def p7_written(spark, sf):
+    """The report of P7 from the scan that writes the responses."""
+    return DP.respond_all_written(V.clean_appointments(spark, sf), SENSITIVE, KEY, P0, Q0, SEED)[1]
+
+
 POST_P = linspace(0.1, 1.0, 19)
 
 
