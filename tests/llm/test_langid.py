@@ -76,3 +76,34 @@ def test_a_text_that_shares_no_ngram_is_not_accepted(documents):
     profiles = langid.learn(docs)
     more = documents([(10, "漢字仮名", None, "s"), (11, "the dog", None, "s")])
     assert [r.doc_id for r in langid.accepted(more, profiles).collect()] == [11]
+
+
+def test_query_equals_plain_ranking(spark, sf_dir):
+    """Profiles, distances and the choice of language, recomputed over the tables with dicts."""
+    docs = [r.asDict() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    held = lambda d: zlib.crc32(str(d["doc_id"]).encode()) % 4 == 2
+    totals = {}
+    for d in docs:
+        if d["lang"] is not None and d["text"] is not None and not held(d):
+            own = totals.setdefault(d["lang"], {})
+            for key, n in brute(d["text"]).items():
+                own[key] = own.get(key, 0) + n
+    top = lambda counts: sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:300]
+    profiles = {lang: {key: i for i, (key, _) in enumerate(top(counts))} for lang, counts in totals.items()}
+    expected = {}
+    for d in docs:
+        grams = top(brute(d["text"] or ""))
+        if not grams:
+            expected[d["doc_id"]] = (held(d), "und", 0.0)
+            continue
+        shared = {}
+        for i, (_, n) in enumerate(grams):
+            shared.setdefault(n, []).append(i)
+        place = {n: sum(at) / len(at) for n, at in shared.items()}
+        distance = {lang: sum(abs(p[key] - place[n]) if key in p else 300 for key, n in grams) / len(grams) / 300 for lang, p in profiles.items()}
+        lang = min(sorted(distance), key=lambda x: distance[x])
+        expected[d["doc_id"]] = (held(d), lang, 1 - distance[lang])
+    got = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in langid.op7_language_id(spark, sf_dir).collect()}
+    assert set(got) == set(expected)
+    for doc_id, want in expected.items():
+        assert got[doc_id][:2] == want[:2] and abs(got[doc_id][2] - want[2]) < 1e-9, doc_id

@@ -63,3 +63,36 @@ def test_awkward_rows(spark, awkward):
     none = quality.learn(awkward, labels.limit(0))
     assert quality.differences(awkward, none, name="d").select(quality.score(F.col("d"), none).alias("s")).distinct().collect()[0].s == 0.5
     assert quality.differences(awkward.limit(0), model, name="d").count() == 0
+
+
+def test_query_equals_plain_recomputation(spark, sf_dir):
+    """Sizes under both dictionaries, difference, curve and decision of every document, one compressor call at a time."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.learn(docs.where(~quality.held_out()), labels.where(~quality.held_out()))
+    assert model.good and model.bad and model.slope != 0
+
+    def size(text, dictionary):
+        total = 0
+        for i in range(0, len(text), quality.PIECE):
+            given = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+            total += len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=given, write_content_size=False).compress(text[i : i + quality.PIECE]))
+        return total
+
+    got = {r.doc_id: r for r in quality.op10_quality(spark, sf_dir).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        text = (r.text or "").encode()
+        good, bad, plain = (size(text, d) for d in (model.good, model.bad, b""))
+        score = 1 / (1 + np.exp(-(model.offset + model.slope * ((bad - good) / plain if plain else 0.0))))
+        own = got[r.doc_id]
+        assert abs(own.score - score) < 1e-9 and own.predicted == int(score >= 0.3)
+        assert own.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_a_hot_label_is_cut_before_it_is_ranked(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("key"), F.when(F.col("id") % 50 == 0, 0).otherwise(1).alias("label"))
+    likely = {r["label"]: r["n"] for r in quality._likely(rows, 1000, {0: 400, 1: 19_600}, "key").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert likely[0] == 400 and 800 < likely[1] < 1200
