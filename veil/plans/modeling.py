@@ -105,7 +105,7 @@ def v10(spark, sf):
         return found.select(F.lit(name).alias("dataset"), F.lit(spec.name).alias("model"), "*")
 
     runs = [partial(scored, name, prep, spec) for name, prep in datasets(spark, sf).items() for spec in MODELS]
-    return reduce(DataFrame.unionByName, concurrently(spark, runs))
+    return reduce(DataFrame.unionByName, concurrently(spark, runs, 2))
 
 
 MEASURES = ["threshold", "accuracy", "recall", "precision", "specificity", "roc_auc", "pr_auc", "f2", "brier_score", "flagged_pct"]
