@@ -99,6 +99,35 @@ def test_simulated_estimates_scatter_as_predicted(spark):
     assert 0.6 < sims["estimate"].std() / sd < 1.5
 
 
+def test_simulated_estimates_equal_draws_one_by_one(spark):
+    """Keys of several lengths, repeated and null ones, digests of one and of two blocks, and values that are absent."""
+    import hashlib
+
+    keys = [None, "", "7", "12", "12", "é", "k" * 30, "k" * 31, "k" * 32, "k" * 33, "k" * 90, *map(str, range(95, 140))]
+    rows = [(k, None if i == 3 else i % 2) for i, k in enumerate(keys)]
+    seed, reps, p, q = "s" * 9, 12, 0.6, 0.3
+    got = DP.simulate_estimates(spark.createDataFrame(rows, "id string, x int"), "x", "id", p, q, seed, reps).collect()
+
+    def answer(rep, key, value):
+        text = hashlib.md5(f"{seed}|x|pair|{rep}|{key or ''}".encode()).hexdigest()
+        a, b = ((int(d, 16) + 0.5) / 2**52 for d in (text[:13], text[13:26]))
+        return value if a >= p else 0 if b < q else 1
+
+    held = [(k, v) for k, v in rows if v is not None]
+    assert {r["rep"]: r["noisy_rate"] for r in got} == {t: round(sum(answer(t, k, v) for k, v in held) / len(held), 6) for t in range(reps)}
+    assert DP.simulate_estimates(spark.createDataFrame([], "id string, x int"), "x", "id", p, q, seed, reps).count() == 0
+
+
+def test_simulated_estimates_do_not_multiply_rows(spark, monkeypatch):
+    """A row and a digest by Spark for each row and replicate is what a large table cannot afford."""
+    def refuse(*_):
+        raise AssertionError("rows are multiplied")
+
+    monkeypatch.setattr(DP.F, "explode", refuse)
+    df = spark.range(100).withColumn("x", (F.col("id") % 5 == 0).cast("int"))
+    assert DP.simulate_estimates(df, "x", "id", 0.5, 0.5, "sim", 3).count() == 3
+
+
 def test_epsilon_forms(spark):
     row = spark.range(1).select(
         DP.epsilon_likelihood(0.3, 0.5).alias("a"), DP.epsilon_product(0.3, 0.5).alias("b"), DP.epsilon_likelihood(0.3, 1.0).alias("c")
