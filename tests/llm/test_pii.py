@@ -142,3 +142,11 @@ def test_precision_and_recall_of_added_spans(spark):
     for kind, r in found.items():
         assert r.planted >= 300 and r.precision >= 0.98, r
         assert r.recall >= (0.9 if kind != "phone" else 0.5), r
+
+
+def test_learning_takes_every_document(spark, monkeypatch):
+    """Each of them holds one candidate; more documents than a bounded sample had."""
+    seen, stored = [], pii.stored
+    monkeypatch.setattr(pii, "stored", lambda df, name: seen.append(stored(df, name)) or seen[-1])
+    assert pii.learn(spark.range(45_000).selectExpr("id AS doc_id", "'the order 918273645 end' AS text")) == pii.Trees()
+    assert seen[0].count() == 45_000

@@ -14,8 +14,8 @@ threshold must keep the wanted precision on either: made forms, of which there a
 documents really hold, and documents without any loose form cannot forbid to look for them unless something wrong looks
 like one. `report` measures precision and recall of added spans on made forms.
 
-Learning takes the candidates of a bounded sample of documents (about SAMPLE, by hash). Texts are searched whole, in
-time proportional to their length.
+Learning takes the candidates of all documents, which Spark ML grows its trees on. Texts are searched whole, in time
+proportional to their length.
 
 Defined cases: a null text is empty and has no spans. Rows are searched on their own, whatever their id. If candidates
 are missing or all of one label, nothing is added.
@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,10 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from veil.llm.common import free_name, ship, slices, stored, table, texts, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, PRECISION, CONFIRMED = 20_000, 0.99, 20
+PRECISION, CONFIRMED = 0.99, 20
 ROUNDS, DEPTH, BUCKETS = 15, 3, 1000
+#: Candidates that a task describes at once.
+AT_ONCE = 10_000
 #: Candidates that grow trees; held-out ones of documents as they are; held-out ones of documents with made forms.
 GROWN, HELD, MADE = 0, 1, 2
 
@@ -230,35 +233,32 @@ def parse_tree(text: str):
     return node()
 
 
-def learn(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE, precision: float = PRECISION, confirmed: int = CONFIRMED) -> Trees:
-    """Trees and thresholds from the candidates of about `sample` documents; two thirds of them grow trees, one third sets thresholds."""
-    spark = docs.sparkSession
-    ship(spark)
-    n = docs.count()
-    part = F.pmod(F.xxhash64(key, text), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20))
+def learn(docs: DataFrame, text: str = "text", precision: float = PRECISION, confirmed: int = CONFIRMED) -> Trees:
+    """Trees and thresholds from the candidates of all documents; two thirds of those grow trees, one third sets thresholds."""
+    ship(docs.sparkSession)
     schema = pa.schema([("kind", pa.string()), ("label", pa.float64()), ("features", pa.list_(pa.float64())), ("fold", pa.int32())])
 
+    def described(raw):
+        own = raw.decode("utf-8", "replace")
+        known = base_spans(own)
+        base, taken, held = set(known), Taken(known), len(raw) % 3 == 0
+        for c in candidates(own):
+            free = not taken.meets(c)
+            if free or not held:
+                yield c[0], float(c in base or (free and confirmed_loose(own, c))), features(own, c), HELD if held else GROWN
+        if known:
+            made, planted = loosened(own, sorted(base, key=_order), len(raw) // 3)
+            taken, right = Taken(base_spans(made)), set(planted)
+            for c in candidates(made):
+                if not taken.meets(c):
+                    yield c[0], float(c in right or confirmed_loose(made, c)), features(made, c), MADE if held else GROWN
+
     def run(batches):
-        for batch in slices(batches, "text"):
-            rows = []
-            for raw in texts(batch, "text"):
-                own = raw.decode("utf-8", "replace")
-                known = base_spans(own)
-                base, taken, held = set(known), Taken(known), len(raw) % 3 == 0
-                for c in candidates(own):
-                    free = not taken.meets(c)
-                    if free or not held:
-                        rows.append((c[0], float(c in base or (free and confirmed_loose(own, c))), features(own, c), HELD if held else GROWN))
-                if known:
-                    made, planted = loosened(own, sorted(base, key=_order), len(raw) // 3)
-                    taken, right = Taken(base_spans(made)), set(planted)
-                    rows += [
-                        (c[0], float(c in right or confirmed_loose(made, c)), features(made, c), MADE if held else GROWN)
-                        for c in candidates(made) if not taken.meets(c)
-                    ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, schema)], schema=schema)
-
-    found = docs.where(part).select(F.col(text).alias("text")).mapInArrow(run, "kind string, label double, features array<double>, fold int")
+        rows = chain.from_iterable(described(raw) for batch in slices(batches, "text") for raw in texts(batch, "text"))
+        while part := list(islice(rows, AT_ONCE)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+
+    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "kind string, label double, features array<double>, fold int")
     found = stored(found, "candidates").withColumn("x", array_to_vector("features"))
     grow, hold = found.where(F.col("fold") == GROWN), found.where(F.col("fold") != GROWN)
     if grow.select("label").distinct().count() < 2:
