@@ -9,7 +9,6 @@ merge never makes a pair of lower rank, so this equals merging one pair at a tim
 from __future__ import annotations
 
 import json
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +17,7 @@ import regex
 SENTINEL = "￿"
 NONE = np.int32(2**31 - 1)
 #: Characters cut at once, pre-tokens merged at once, and pre-tokens remembered by a worker.
-CHUNK, MERGED_AT_ONCE, REMEMBERED = 1 << 20, 1 << 16, 1 << 19
+CHUNK, MERGED_AT_ONCE, REMEMBERED = 1 << 20, 1 << 16, 1 << 18
 
 LETTER, NUMBER, SPACE, BOUNDARY = 1, 2, 3, 4
 _classes: np.ndarray | None = None
@@ -161,19 +160,22 @@ def packed(symbols: np.ndarray, counts: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-@contextmanager
-def _known(v: Vocabulary, words: set[bytes], values):
-    """What `values` makes of the symbols of each pre-token, with all of `words` in it. Memory that is full learns no more:
-    what it misses is forgotten afterwards."""
+def _values(v: Vocabulary, words: list[bytes], values) -> list:
+    """What `values` makes of the symbols of each pre-token. Memory that is full learns no more."""
     memory = _memories.setdefault((v.name, values), {})
-    missing = list(words.difference(memory))
+    found = list(map(memory.get, words))
+    places = [i for i, x in enumerate(found) if x is None]
+    if not places:
+        return found
+    missing, fresh = list({words[i] for i in places}), {}
     for at in range(0, len(missing), MERGED_AT_ONCE):
         part = missing[at : at + MERGED_AT_ONCE]
-        memory.update(zip(part, values(*merge(v, part))))
-    yield memory
-    if len(memory) > REMEMBERED:
-        for word in missing:
-            del memory[word]
+        fresh.update(zip(part, values(*merge(v, part))))
+    for i in places:
+        found[i] = fresh[words[i]]
+    if len(memory) + len(fresh) <= REMEMBERED:
+        memory.update(fresh)
+    return found
 
 
 def _chunks(texts: list[str], specials: tuple[str, ...]):
@@ -207,8 +209,7 @@ def count(v: Vocabulary, texts: list[str], specials: bool = True) -> np.ndarray:
         if not owners:
             continue
         words, ends = pretokens([piece for _, piece in chunk if piece is not None])
-        with _known(v, set(words), lengths) as memory:
-            counts = np.fromiter(map(memory.__getitem__, words), np.int64, len(words))
+        counts = np.array(_values(v, words, lengths), np.int64)
         counts[ends] = 0
         np.add.at(out, owners, np.add.reduceat(counts, np.r_[0, ends[:-1] + 1]))
     return out
@@ -219,8 +220,7 @@ def encode(v: Vocabulary, texts: list[str]) -> list[bytes]:
     parts: list[list[bytes]] = [[] for _ in texts]
     for chunk in _chunks(texts, ()):
         words, ends = pretokens([piece for _, piece in chunk])
-        with _known(v, set(words), packed) as memory:
-            ids = list(map(memory.__getitem__, words))
+        ids = _values(v, words, packed)
         for (i, _), a, b in zip(chunk, np.r_[0, ends[:-1] + 1].tolist(), ends.tolist()):
             parts[i].append(b"".join(ids[a:b]))
     return [b"".join(p) for p in parts]

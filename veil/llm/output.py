@@ -120,9 +120,13 @@ def _pieces(permutation: Permutation, length: int, slots: int, begin_slot: int =
             arrays = [pa.array(((slot - begin_slot) // slots).astype(np.int32)), pa.array(slot), pa.array(begin - sequence * length), pa.array(end - begin), batch.column("doc_id").take(pa.array(row))]
             names = ["shard", "slot", "at", "n", "doc_id"]
             if with_ids:
-                ids = batch.column("ids").to_pylist()
-                a, b = ((x - at[row]) * 2 for x in (begin, end))
-                arrays.append(pa.array([ids[r][i:j] for r, i, j in zip(row.tolist(), a.tolist(), b.tolist())], pa.binary()))
+                # cut out of the batch itself: of most documents a wave takes nothing
+                ids = batch.column("ids").cast(pa.large_binary())
+                _, places, content = ids.buffers()
+                place = np.frombuffer(places, np.int64)[ids.offset + row]
+                a, b = (place + (x - at[row]) * 2 for x in (begin, end))
+                data = memoryview(content) if content else b""
+                arrays.append(pa.array([bytes(data[i:j]) for i, j in zip(a.tolist(), b.tolist())], pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
