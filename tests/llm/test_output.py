@@ -70,3 +70,35 @@ def test_query_covers_every_token(spark, sf_dir):
     assert sum(r.n_tokens for r in rows) == total and len(rows) == -(-total // output.LENGTH)
     assert {d for r in rows for d in r.doc_ids} == set(docs)
     assert len({r.sha256 for r in rows}) > 1 and all(len(r.sha256) == len(hashlib.sha256().hexdigest()) for r in rows)
+
+
+def test_pieces_of_a_batch_that_is_part_of_another():
+    """Ids are cut by the places of the batch's own rows, for the wave's slots only; null-free or empty, whole or sliced."""
+    import pyarrow as pa
+
+    lengths, length = [3, 1, 40, 7, 25, 2], 8
+    ids = [np.arange(n, dtype="<u2") + 100 * i for i, n in enumerate(lengths)]
+    at = np.cumsum([0, *lengths[:-1]])
+    names = ["doc_id", "n", "ids", "at"]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(lengths), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(at)], names=names)
+    order = output.Permutation(-(-sum(lengths) // length))
+    for begin, end in ((0, 4), (4, order.n), (0, order.n)):
+        for first, rows in ((0, 6), (2, 3), (5, 1), (6, 0)):
+            (found,) = output._pieces(order, length, 2, begin, end)([whole.slice(first, rows)])
+            expected = []
+            for i in range(first, first + rows):
+                for k in range(at[i] // length, (at[i] + lengths[i] - 1) // length + 1):
+                    slot, a, b = int(order.slot(np.array([k]))[0]), max(at[i], k * length) - at[i], min(at[i] + lengths[i], (k + 1) * length) - at[i]
+                    if begin <= slot < end:
+                        expected.append((slot, i, ids[i][a:b].tobytes()))
+            assert list(zip(*(found.column(c).to_pylist() for c in ("slot", "doc_id", "ids")))) == expected
+
+
+def test_a_known_pretoken_is_looked_up_and_not_merged_again(monkeypatch):
+    from veil.llm import bpe
+
+    vocabulary = bpe.load(PATH)
+    first = bpe.encode(vocabulary, ["some words and some more words"])
+    monkeypatch.setattr(bpe, "merge", lambda *_: pytest.fail("merged again"))
+    assert bpe.encode(vocabulary, ["some words and some more words"]) == first
+    assert bpe.REMEMBERED <= 1 << 18  # two workers of an executor keep this many each, beside all else
