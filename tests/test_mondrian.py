@@ -1,9 +1,14 @@
 """Mondrian against an independent plain-Python partitioner, and its invariants."""
 
+import os
 import random
+import subprocess
+import sys
 from statistics import median
 
+import pyspark
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from veil.operators import mondrian as M
@@ -215,3 +220,24 @@ def test_a_tree_without_splits(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 2.0)], "id int, a double")
     p = M.partition(df, ["a"], M.Validity(k=3))
     assert p.depth == 0 and {r["part_id"] for r in p.assign(df, most_cells=0).collect()} == {"1"}
+
+
+def test_rows_meet_any_number_of_cells_unless_one_is_hot(spark, monkeypatch):
+    df = spark.range(400).selectExpr("id", "CAST(id * 7 % 400 AS double) AS a", "CAST(id % 3 AS string) AS b")
+    p = M.partition(df, ["a", "b"], M.Validity(5))
+    want = {r["id"]: r["part_id"] for r in p.assign(df, most_cells=0).collect()}
+    routed, route = [], M.Partitioning.route
+    monkeypatch.setattr(M.Partitioning, "route", lambda self, rows: routed.append(1) or route(self, rows))
+    monkeypatch.setattr(M, "JOINED_CELLS", 100)
+    assert (p.n_cells, p.hottest) == (400, 1) and len(set(want.values())) > 40
+    assert {r["id"]: r["part_id"] for r in p.assign(df).collect()} == want and not routed
+    monkeypatch.setattr(M, "HOT_ROWS", 0)
+    assert {r["id"]: r["part_id"] for r in p.assign(df).collect()} == want and routed
+
+
+def test_finishing_a_partition_needs_nothing_of_this_package(tmp_path):
+    """Tasks that cannot import it load the function all the same."""
+    (tmp_path / "finish").write_bytes(cloudpickle.dumps(M.finish_locally(1, set(), {0: 1.0}, M.Validity(2, 2, 0.1), None, None, None, None)))
+    load = "import pickle, sys; pickle.load(open('finish', 'rb')); assert not [m for m in sys.modules if m.startswith('veil')]"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": os.path.dirname(os.path.dirname(pyspark.__file__))}
+    assert subprocess.run([sys.executable, "-c", load], cwd=tmp_path, env=env).returncode == 0
